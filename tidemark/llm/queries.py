@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_classifier, quality_rules, secret_scan, simhash
+from . import quality_classifier, quality_rules, secret_scan, simhash, substring_dedup
 from .common import read
 
 
@@ -28,5 +28,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secret_scan, op6_quality_classifier, op8_quality_rules, op9_simhash)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.dedup_substrings(read(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secret_scan, op6_quality_classifier, op8_quality_rules, op9_simhash, op10_substring_dedup)}
 SQL: dict[str, str] = {}
