@@ -44,7 +44,7 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 def positions(docs: DataFrame, sizes: list[int]) -> DataFrame:
     """doc_id, th (hash of the text), w (its words), at and key for each shingle of each of the sizes."""
     base = docs.select("doc_id", F.xxhash64("text").alias("th"), word_list(F.col("text")).alias("w"))
-    each = base.select("doc_id", "th", "w", F.posexplode("w").alias("at", "word"))
+    each = base.select("doc_id", "th", "w", F.posexplode_outer("w").alias("at", "word"))
     keyed = [each.where(F.col("at") + k <= F.size("w")).select("doc_id", "th", "w", "at", shingle(F.col("w"), F.col("at"), k).alias("key")) for k in sizes]
     return reduce(DataFrame.unionByName, keyed)
 

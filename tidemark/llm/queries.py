@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, lm_score, mixing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, token_files
+from . import decontamination, line_dedup, lm_score, mixing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, token_files
 from .common import read
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.dedup_lines(read(spark, sf_dir, "documents")))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(read(spark, sf_dir, "documents")))
 
@@ -48,5 +52,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.dedup_substrings(read(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secret_scan, op3_lm_score, op4_mixing, op5_token_files, op6_quality_classifier, op7_decontamination, op8_quality_rules, op9_simhash, op10_substring_dedup)}
-SQL: dict[str, str] = {"op4_mixing": mixing.SQL, "op7_decontamination": decontamination.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_lm_score, op4_mixing, op5_token_files, op6_quality_classifier, op7_decontamination, op8_quality_rules, op9_simhash, op10_substring_dedup)}
+SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op4_mixing": mixing.SQL, "op7_decontamination": decontamination.SQL}
