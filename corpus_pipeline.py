@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import quality_rules
+from tidemark.llm import decontamination, mixing, quality_rules, simhash, token_files
 from tidemark.llm.common import read, stored
 
 
@@ -19,9 +19,35 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filter_quality(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality rules", rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: the one with the least doc_id."""
+    return simhash.keep_one(docs)
 
-#: Hashes with 64-bit overflow, components and a tokenizer are beyond SQL; the tests hold each stage
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a window of a benchmark item occurs go."""
+    return decontamination.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated, or left out, as their source's target weight asks."""
+    return mixing.mixed_documents(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of all documents, and where each document stands in them."""
+    return token_files.token_files(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", rules),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", benchmark),
+    ("mixing sources", weights),
+    ("token files", tokens),
+]
+
+#: Histogram distances, components of links and a tokenizer are beyond SQL; the tests hold each stage
 #: against a brute-force version.
 ORACLE_SQL = None
 
