@@ -3,7 +3,7 @@
 The patterns (BASE) give labelled findings. A candidate is any other run of 12 or more characters of
 ALPHABET with a digit. The network reads each candidate with its surrounding context. It is trained on
 the driver on a bounded sample: at most max_sample labelled candidates of the corpus (those within
-pattern findings are positive, the rest negative) and as many generated findings and look-alikes. A
+pattern findings are positive, the rest negative unless a first network takes them for findings) and as many generated findings and look-alikes. A
 held-back part calibrates its probabilities (Platt scaling) and sets the threshold: the highest one
 that keeps min_recall of the positives, but not below min_probability.
 
@@ -215,6 +215,13 @@ def train(found: DataFrame, max_sample: int = 4000, min_recall: float = 0.98, mi
     pick = lambda keep: ([c for c, k in zip(contexts, keep, strict=True) if k], lengths[keep], labels[keep])
     net = Network()
     net.fit(*pick(~held))
+    # a corpus candidate outside the patterns is not surely harmless: those that look like findings go without a label
+    doubtful = (labels == 0) & (net.probabilities(contexts, lengths) > 0.5)
+    doubtful[:max_sample] = False
+    if doubtful.any():
+        contexts, lengths, labels, held = *pick(~doubtful), held[~doubtful]
+        net = Network()
+        net.fit(*pick(~held))
     net.calibrate(*pick(held), min_recall, min_probability)
     return net
 
