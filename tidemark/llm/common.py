@@ -20,6 +20,7 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 _ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _own: dict[str, str] = {}
+_paths: list[str] = []
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,12 +45,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder; what it holds is deleted when the driver's process ends."""
+    """A new path in the shared folder; what it holds is deleted by release(), or when the driver's process ends."""
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}/{tag}"
-    atexit.register(_delete, spark, path.rpartition("/")[0])
+    if not _paths:
+        atexit.register(release, spark)
+    _paths.append(path.rpartition("/")[0])
     return path
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables so far; results that were not yet written or collected go with them."""
+    while _paths:
+        _delete(spark, _paths.pop())
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
