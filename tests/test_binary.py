@@ -18,7 +18,7 @@ def write_block_file(path, names, capacity, rows, extras=(), first_overflow=0, e
         for c, v in enumerate(values):
             struct.pack_into("<h", blocks, 1024 * b + 8 + 4 * per_block + 2 * (c * per_block + r), v)
     overflow = index_offset + 8 * entries + len(blocks) if extras else 0
-    head = struct.pack("<IIBBHHIIIIIIIIIII", 0x54534442, 4 if n > 16 else 3, n, 2, 4 + 2 * n, per_block, capacity, len(rows), 0, 0, 0, 0, index_offset, entries, stride, len(rows), 0)
+    head = struct.pack("<IIBBHHIIIIIIIIIII", 0x45545344, 4 if n > 16 else 3, n, 2, 4 + 2 * n, per_block, capacity, len(rows), 0, 0, 0, 0, index_offset, entries, stride, len(rows), 0)
     head += b"".join(x.encode().ljust(32, b"\0") for x in names[:16]).ljust(512, b"\0")
     head += struct.pack("<BBHII", n, len(extras), 2 * len(extras), overflow, first_overflow) + b"\0\0"
     assert len(head) == 584
@@ -47,3 +47,12 @@ def test_wide_file(spark, tmp_path):
     spark.dataSource.register(BlockFiles)
     df = spark.read.format("blockfile").option("path", str(tmp_path / "w")).load()
     assert [tuple(r) for r in df.collect()] == [(0, 5, *range(20)), (2, 6, *[2] * 20)]
+
+
+def test_other_files_are_refused(tmp_path):
+    import pytest
+
+    for raw in (b"", b"x" * 5000):
+        (tmp_path / "x").write_bytes(raw)
+        with pytest.raises(ValueError):
+            layout(str(tmp_path / "x"))

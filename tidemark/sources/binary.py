@@ -20,7 +20,7 @@ from pyspark.sql.types import LongType, ShortType, StructField, StructType
 
 #: The layout of the header, its magic numbers, and of the regions.
 HEADER = "<II BBHH IIII II III II"
-BLOCK_MAGIC, OVERFLOW_MAGIC = 0x424C4B54, 0x4F564652
+FILE_MAGIC, BLOCK_MAGIC, OVERFLOW_MAGIC = 0x45545344, 0x424C4B54, 0x4F564652
 NAMES, NAME_BYTES, SHORT_NAME_BYTES = 16, 32, 20
 HEADER_BYTES, OVERFLOW_HEADER_BYTES, BLOCK_BYTES, BLOCK_HEADER = 584, 1024, 1024, 8
 TAIL = "<BBHII"
@@ -55,8 +55,8 @@ def layout(path: str) -> Layout:
         if len(raw) < HEADER_BYTES:
             raise ValueError("the file is too short")
         fields = struct.unpack_from(HEADER, raw)
-        _, version, n, size, _, per_block, capacity, total, _, _, _, _, index_offset, entries, stride, _, _ = fields
-        if version not in (3, 4) or size != 2 or not 1 <= n <= 64 or per_block != (BLOCK_BYTES - BLOCK_HEADER) // (4 + 2 * n) or not stride:
+        magic, version, n, size, _, per_block, capacity, total, _, _, _, _, index_offset, entries, stride, _, _ = fields
+        if magic != FILE_MAGIC or version not in (3, 4) or size != 2 or not 1 <= n <= 64 or per_block != (BLOCK_BYTES - BLOCK_HEADER) // (4 + 2 * n) or not stride:
             raise ValueError(f"not a block file of version 3 or 4: version {version}, {n} columns")
         at = struct.calcsize(HEADER)
         names = [_text(raw[at + k * NAME_BYTES : at + (k + 1) * NAME_BYTES]) for k in range(min(n, NAMES))]
