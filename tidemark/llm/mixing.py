@@ -7,8 +7,9 @@ order of cap / weight are clamped up to the first whose share of what is left fi
 
 Taking. A source with target / words = 1.7 gets each document once whole, and 0.7 of its words from
 documents in the order of a seeded hash; the last of them is cut so that the target is met to the word.
-The order is never built as a whole: documents fall into 65,536 buckets by their hash, words are summed
-by bucket, and only the one bucket per source in which the target falls is sorted.
+The order is never built as a whole: documents fall into 256 buckets by their hash, words are summed by
+bucket, and the one bucket per source in which the target falls is cut into 256 again; only the
+documents of the bucket that is left then are sorted.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import own_columns, stored
 
-WEIGHTS = (3, 1, 2)
+WEIGHTS, DIGITS = (3, 1, 2), (2, 4)
 
 
 def word_list(text: Column) -> Column:
@@ -55,19 +56,23 @@ def plan(sizes: DataFrame, **how) -> DataFrame:
     sizes has source, size and u (as of order_hash).
     """
     goal = stored(targets(sizes, **how).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")).withColumn("rest", F.round("target").cast("long") - F.col("whole") * F.col("source_size")), "targets")
-    buckets = sizes.groupBy("source", F.substring("u", 1, 4).alias("bucket")).agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
-    buckets = buckets.withColumn("upto", upto).join(goal.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s")))
-    edge = buckets.where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("words") <= F.col("rest"))).groupBy("source").agg(F.min("bucket").alias("edge"), F.min(F.col("upto") - F.col("words")).alias("before"))
-    edge = edge.withColumnRenamed("source", "s")
-    return stored(goal.join(edge, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "plan")
+    held = goal.withColumns({"edge": F.when(F.col("rest") > 0, F.lit("")), "before": F.lit(0).cast("long")})
+    for digits in DIGITS:  # 256 buckets more each time, within the one in which the rest ends
+        state = held.select(F.col("source").alias("s"), "rest", "edge", "before")
+        within = sizes.join(state, F.col("source").eqNullSafe(F.col("s")) & (F.substring("u", 1, digits - 2) == F.col("edge")))
+        buckets = within.groupBy("source", "rest", "before", F.substring("u", 1, digits).alias("bucket")).agg(F.sum("size").alias("words"))
+        upto = F.col("before") + F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
+        found = buckets.withColumn("upto", upto).where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("words") <= F.col("rest")))
+        found = found.groupBy(F.col("source").alias("s")).agg(F.min("bucket").alias("edge"), F.min(F.col("upto") - F.col("words")).alias("before"))
+        held = stored(goal.join(found, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "plan")
+    return held
 
 
 def take(rows: DataFrame, planned: DataFrame) -> DataFrame:
     """rows (with source, size, doc_id, u) with source_size, target, whole, and part: words of one more, partial repetition."""
     planned = planned.withColumnRenamed("source", "planned_source")
     joined = rows.join(planned, F.col("source").eqNullSafe(F.col("planned_source"))).drop("planned_source")
-    bucket = F.substring("u", 1, 4)
+    bucket = F.substring("u", 1, DIGITS[-1])
     at_edge = F.coalesce(bucket == F.col("edge"), F.lit(False))
     order = Window.partitionBy("source").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     far = joined.where(~at_edge).withColumn("part", F.when(F.col("edge").isNull() & (F.col("rest") <= 0), 0).when(F.col("edge").isNull() | (bucket < F.col("edge")), F.col("size")).otherwise(0).cast("long"))
