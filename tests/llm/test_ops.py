@@ -199,7 +199,7 @@ def test_suffix_tree_walk_is_a_distribution_and_cuts_change_nothing(spark, small
     for text, score in zip(texts[:5], long, strict=False):
         state, total = int(tree.moves[0, tree.code_of[10]]), 0.0
         for b in b" ".join(words(text, lower=True)) + b"\n":
-            total += tree.logs[state, tree.code_of[b]]
+            total += float(tree.logs[state, tree.code_of[b]])
             state = tree.moves[state, tree.code_of[b]]
         assert math.isclose(total, score, rel_tol=1e-6)
 
