@@ -7,7 +7,8 @@ its next byte, over all training documents; shorter contexts follow by summing.
 if it makes up MIN_SHARE of all places (so at most DEPTH / MIN_SHARE are, whatever the size of the
 corpus, and the tree may travel with the tasks), and retained if its next-byte distribution diverges
 from its parent's (the context without its first byte): n * KL must exceed half of ln n for each next
-byte seen. Distributions are smoothed with the parent's, up to the root, which is smoothed with the
+byte seen. Distributions are smoothed with the parent's, which weighs as much as there
+are next bytes seen, up to the root, which is smoothed with the
 uniform one. Scoring follows the longest retained suffix: states are closed under prefixes, so one table
 of moves does, and all texts of a chunk are walked in step, cut into segments that each start with the
 DEPTH bytes before them.
@@ -120,7 +121,7 @@ class SuffixTree:
         return np.bincount(text[order], total, n)
 
 
-def grow(counts: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE, prior: float = 4.0) -> SuffixTree:
+def grow(counts: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE) -> SuffixTree:
     """The tree from context counts; what reaches the driver is bounded by depth / min_share contexts."""
     total = counts.agg(F.sum("n")).first()[0] or 0
     shift = lambda k: 8 * (depth - k) + 8
@@ -130,32 +131,30 @@ def grow(counts: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE, pr
     often = each.groupBy("k", "context").agg(F.sum("n").alias("all")).where(F.col("all") >= max(1.0, min_share * total))
     rows = each.join(often, ["k", "context"], "left_semi").toArrow()
     k, context, nxt, n = (rows[c].to_numpy() for c in ("k", "context", "next", "n"))
-    found: dict[bytes, np.ndarray] = {}
-    for i in np.lexsort((nxt, context, k)):
-        raw = int(context[i]).to_bytes(8, "big")[8 - int(k[i]) :] if k[i] else b""
-        if PAD in raw:  # a shorter context stands for it
-            continue
-        word = raw[::-1]
-        if word not in found:
-            found[word] = np.zeros(256, np.int64)
-        found[word][nxt[i]] = n[i]
-    found.setdefault(b"", np.zeros(256, np.int64))
-    smooth = {b"": (found[b""] + 1) / (found[b""].sum() + 256)}
-    kept = {b""}
-    for word in sorted(found, key=lambda w: (len(w), w)):
-        if not word:
-            continue
+    order = np.lexsort((nxt, context, k))
+    k, context, nxt, n = k[order], context[order], nxt[order], n[order]
+    head = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (context[1:] != context[:-1])])) if len(k) else np.zeros(0, np.int64)
+    found: dict[bytes, tuple[np.ndarray, np.ndarray]] = {b"": (np.zeros(0, np.int32), np.zeros(0, np.int64))}
+    for a, b in zip(head.tolist(), [*head[1:].tolist(), len(k)], strict=False):
+        raw = int(context[a]).to_bytes(8, "big")[8 - int(k[a]) :] if k[a] else b""
+        if PAD not in raw:  # else a shorter context stands for it
+            found[raw[::-1]] = nxt[a:b], n[a:b]
+    root = np.ones(256)
+    root[found[b""][0]] += found[b""][1]
+    smooth, kept = {b"": (root / root.sum()).astype(np.float32)}, {b""}
+    for word in sorted(found, key=lambda w: (len(w), w))[1:]:
         parent = word[1:]
         while parent not in smooth:
             parent = parent[1:]
-        c, p = found[word], smooth[parent]
-        size, seen = c.sum(), c > 0
-        smooth[word] = (c + prior * p) / (size + prior)
-        if (c[seen] * np.log(c[seen] / size / p[seen])).sum() > 0.5 * seen.sum() * np.log(size):
+        seen, c = found[word]
+        p, size = smooth[parent], c.sum()
+        smooth[word] = p * np.float32(len(seen) / (size + len(seen)))
+        smooth[word][seen] += (c / (size + len(seen))).astype(np.float32)
+        if (c * np.log(c / size / p[seen])).sum() > 0.5 * len(seen) * np.log(size):
             kept.add(word)
     states = sorted({w[:i] for w in {w[i:] for w in kept for i in range(len(w) + 1)} for i in range(len(w) + 1)}, key=lambda w: (len(w), w))
     number = {w: i for i, w in enumerate(states)}
-    known = np.flatnonzero(found[b""])
+    known = found[b""][0]
     rare = np.setdiff1d(np.arange(256), known)  # bytes never seen are alike in every state, and share a code
     code_of = np.full(256, len(known), np.uint8)
     code_of[known] = np.arange(len(known))
