@@ -20,6 +20,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ SEEK_MAGIC, FOOTER_MAGIC, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 END_ID = 0
 WRITTEN = "shard int, path string, n_docs long, n_tokens long"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
+#: A piece of one pre-token of letters, or of two with a stop after it.
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?)")
 _UNSAFE, _CUT = re.compile(r"\s[ \n]"), re.compile(r"(?<=\S)(?=[ \n])")
 
 
@@ -45,7 +48,8 @@ class Encoder:
 
     A byte-level tokenizer first cuts a text into pre-tokens, and none of them reaches from a visible
     character over a following space or line break. So the ids of a text are those of its pieces, cut
-    there, one after the other.
+    there, one after the other. New pieces of letters go straight to the tokenizer's model, spelled in
+    its byte alphabet; all others go through the whole tokenizer.
     """
 
     def __init__(self, path: str, most: int = 1_000_000) -> None:
@@ -55,7 +59,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.most = most
+        self.most, self.model = most, self.tokenizer.model
+        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        moved = [b for b in range(256) if b not in kept]  # bytes without a visible form stand above 255, in order
+        self.spelling = {b: chr(256 + k) for k, b in enumerate(moved)}
+        self.stops = {c: [self.tokenizer.token_to_id(c)] for c in ".,"} | {"": []}
         self._reset()
 
     def _reset(self) -> None:
@@ -63,15 +71,31 @@ class Encoder:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.first, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
+    def _ids(self, pieces: list[str]) -> list[list[int]]:
+        out: list[list[int] | None] = []
+        tokenize, spelling, stops, plain = self.model.tokenize, self.spelling, self.stops, _PLAIN.fullmatch
+        space = spelling[ord(" ")]
+        for p in pieces:
+            if m := plain(p):
+                body, stop = m.groups()
+                spelled = body.replace(" ", space) if body.isascii() else body.encode().decode("latin-1").translate(spelling)
+                out.append([t.id for t in tokenize(spelled)] + stops[stop])
+            else:
+                out.append(None)
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        return out
+
     def _learn(self, pieces: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        encoded = self._ids([self.spelled(p) for p in pieces])
         lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
         n, total = len(self.known), int(lengths.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + len(pieces) > len(self.first):
             self.first, self.length = np.concatenate([self.first, np.zeros_like(self.first)]), np.concatenate([self.length, np.zeros_like(self.length)])
-        self.flat[self.used : self.used + total] = np.fromiter((i for e in encoded for i in e), np.uint32, total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(encoded), np.uint32, total)
         self.first[n : n + len(pieces)] = self.used + np.cumsum(lengths) - lengths
         self.length[n : n + len(pieces)] = lengths
         self.known.update(zip(pieces, range(n, n + len(pieces)), strict=True))
@@ -79,23 +103,37 @@ class Encoder:
 
     @staticmethod
     def pieces(text: str) -> list[str]:
+        """Keys of the text's pieces.
+
+        A piece of a space and what follows has the latter as its key, one that starts with a line break
+        itself, and any other piece itself behind a space, which no other key holds.
+        """
         if _UNSAFE.search(text):
-            return _CUT.split(text)
+            return [p[1:] if p[0] == " " and " " not in p[1:] and p[1:2] != "\n" else p if p[0] == "\n" and " " not in p else " " + p for p in _CUT.split(text) if p]
         parts = text.replace("\n", " \n").split(" ")
-        return [p for p in parts[:1] if p] + [p if p[:1] == "\n" else " " + p for p in parts[1:]]
+        parts[0] = " " + parts[0]
+        return parts
+
+    @staticmethod
+    def spelled(key: str) -> str:
+        return key[1:] if key[:1] == " " else key if key[:1] == "\n" else " " + key
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.pieces(t) if t else [] for t in texts]
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        keys = list(chain.from_iterable(cut))
         if len(self.known) > self.most:
             self._reset()
-        if new := list({p for ps in cut for p in ps if p not in self.known}):
-            self._learn(new)
-        out = []
-        for ps in cut:
-            at = np.fromiter(map(self.known.__getitem__, ps), np.int64, len(ps))
-            n = self.length[at]
-            out.append(self.flat[np.repeat(self.first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())])
-        return out
+        at = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        if len(new := np.flatnonzero(at < 0)):
+            names = [keys[k] for k in new.tolist()]
+            self._learn(list(dict.fromkeys(names)))
+            at[new] = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+        n = self.length[at]
+        upto = np.cumsum(n)
+        ids = self.flat[np.repeat(self.first[at] - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)]
+        ends = np.concatenate([[0], upto])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -105,7 +143,7 @@ def encoder(path: str) -> Encoder:
 
 def write_file(out, documents: Iterator[tuple[int | None, np.ndarray]], width: int) -> tuple[int, int]:
     """Write (doc_id, ids) in the given order to an open file; how many documents and ids they are."""
-    pack = zstandard.ZstdCompressor(level=3, write_checksum=True)
+    pack = zstandard.ZstdCompressor(level=1, write_checksum=True)
     table, doc_ids, total = [], [], 0
     for doc_id, ids in documents:
         raw = ids.astype(f"<u{width}").tobytes()
