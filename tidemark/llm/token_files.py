@@ -38,8 +38,8 @@ SEEK_MAGIC, FOOTER_MAGIC, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 END_ID = 0
 WRITTEN = "shard int, path string, n_docs long, n_tokens long"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
-#: A piece of one pre-token of letters, or of two with a stop after it.
-_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?)")
+#: The key of a piece of letters behind a space or a line break, maybe with a stop after them.
+_PLAIN = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?)")
 _UNSAFE, _CUT = re.compile(r"\s[ \n]"), re.compile(r"(?<=\S)(?=[ \n])")
 
 
@@ -71,24 +71,28 @@ class Encoder:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.first, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _ids(self, pieces: list[str]) -> list[list[int]]:
+    def _ids(self, keys: list[str]) -> list[list[int]]:
         out: list[list[int] | None] = []
         tokenize, spelling, stops, plain = self.model.tokenize, self.spelling, self.stops, _PLAIN.fullmatch
-        space = spelling[ord(" ")]
-        for p in pieces:
-            if m := plain(p):
-                body, stop = m.groups()
-                spelled = body.replace(" ", space) if body.isascii() else body.encode().decode("latin-1").translate(spelling)
-                out.append([t.id for t in tokenize(spelled)] + stops[stop])
+        space, line = spelling[ord(" ")], [self.tokenizer.token_to_id(spelling[ord("\n")])]
+        for key in keys:
+            if m := plain(key):
+                lead, body, stop = m.groups()
+                if not body.isascii():
+                    body = body.encode().decode("latin-1").translate(spelling)
+                if lead:
+                    out.append(line + [t.id for t in tokenize(body)] + stops[stop])
+                else:
+                    out.append([t.id for t in tokenize(space + body)] + stops[stop])
             else:
                 out.append(None)
         rest = [k for k, ids in enumerate(out) if ids is None]
-        for k, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[k] for k in rest], add_special_tokens=False), strict=True):
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([self.spelled(keys[k]) for k in rest], add_special_tokens=False), strict=True):
             out[k] = e.ids
         return out
 
     def _learn(self, pieces: list[str]) -> None:
-        encoded = self._ids([self.spelled(p) for p in pieces])
+        encoded = self._ids(pieces)
         lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
         n, total = len(self.known), int(lengths.sum())
         while self.used + total > len(self.flat):
