@@ -153,6 +153,21 @@ def test_network_on_held_out_secrets(spark):
     assert secret_scan.digest(secret_scan.scan_secrets(df)).first().spans == "cnn:10:42"
 
 
+def test_all_of_a_long_run_is_read(spark):
+    for n in (8, 32, 33, 48, 49, 90, 300):
+        at = list(secret_scan.windows(5, 5 + n))
+        assert at[0] == 5 and {x for s in at for x in range(s, s + secret_scan.AFTER)} >= set(range(5, 5 + n + secret_scan.TAIL)) and max(at) < 5 + n
+    texts = [" see /srv/" + "application." * 9 + "x7Kq9ZpT4vLm2Wc8Rb1Nd6Hs3Gy5Jf in it", "", "é" * 90 + " short123456789 \n" + "ab12/" * 70]
+    of, starts, ends = np.array([(i, s, b) for i, t in enumerate(texts) for a, b, _ in secret_scan.candidates(t, []) for s in secret_scan.windows(a, b)]).T
+    net = secret_scan.Network()
+    assert np.allclose(net.run_logits(texts, of, starts, ends - starts, block=50, part=3), net.logits([secret_scan.context(texts[i], s) for i, s in zip(of, starts)], ends - starts), atol=1e-5)
+    lead = "see /srv/application1/configuration/production/settings/database/"
+    secret = "x7Kq9ZpT4vLm2Wc8Rb1Nd6Hs3Gy5Jf"
+    df = spark.createDataFrame([(1, f"{lead}{secret} in it"), (2, f"{lead}main/replica in it")], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secret_scan.digest(secret_scan.scan_secrets(df)).collect()}
+    assert spans == {1: f"cnn:4:{len(lead + secret)}", 2: ""}
+
+
 # 3
 
 

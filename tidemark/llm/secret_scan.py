@@ -1,11 +1,14 @@
 """Secret scans: fixed patterns, and a character convolutional network over all other candidates.
 
 The patterns (BASE) give labelled findings. A candidate is any other run of 12 or more characters of
-ALPHABET with a digit. The network reads each candidate with its surrounding context. It is trained on
-the driver on a bounded sample: at most max_sample labelled candidates of the corpus (those within
-pattern findings are positive, the rest negative unless a first network takes them for findings) and as many generated findings and look-alikes. A
-held-back part calibrates its probabilities (Platt scaling) and sets the threshold: the highest one
-that keeps min_recall of the positives, but not below min_probability.
+ALPHABET with a digit; the finding is the whole run. The network reads windows of a run:
+BEFORE characters before a place in it and AFTER from there on. Windows start every STEP characters until
+one holds all up to TAIL characters behind the run's end, and the run's score is the highest of them. The
+network is trained on the driver on a bounded sample: at most max_sample labelled windows of the corpus
+(those that read a pattern finding are positive, the rest negative) and as many generated findings and
+look-alikes. A held-back part calibrates its probabilities (Platt scaling) and sets the threshold: the
+highest one that keeps min_recall of the held-back positives, but not below min_probability. Corpus negatives
+that a first network takes for findings are left out.
 
 Null text: no findings. Empty table: no rows. Repeated rows are scanned alike. Extra columns are
 ignored. Findings of one document are ordered by start, then by kind as in KINDS.
@@ -13,7 +16,9 @@ ignored. Findings of one document are ordered by start, then by kind as in KINDS
 
 from __future__ import annotations
 
+import heapq
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +37,11 @@ BASE = (
 )
 #: The same matches as the last of BASE; the engine skips short runs faster.
 _LONG_HEX = re.compile(r"[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
+ALPHABET = r"A-Za-z0-9+/_.=-"
+CANDIDATE = re.compile(f"[{ALPHABET}]{{12,}}")
 _DIGIT = re.compile(r"[0-9]")
-BEFORE, AFTER = 32, 48
-FOUND = "doc_id long, kinds array<int>, starts array<int>, ends array<int>, candidate_starts array<int>, candidate_ends array<int>, contexts array<string>, labels array<int>"
+BEFORE, AFTER, STEP, TAIL = 32, 48, 24, 16
+SAMPLE = "h long, context string, length int, label int"
 RESULT = "doc_id long, kinds array<string>, starts array<int>, ends array<int>, scores array<float>"
 
 
@@ -52,8 +58,13 @@ def candidates(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int,
     return [(m.start(), m.end(), int(any(a < m.end() and m.start() < b for a, _, b in found))) for m in CANDIDATE.finditer(text) if _DIGIT.search(m[0])]
 
 
+def windows(start: int, end: int) -> range:
+    """Where the windows of a run start."""
+    return range(start, max(start + 1, end + TAIL - AFTER + STEP), STEP)
+
+
 def context(text: str, start: int) -> str:
-    """The candidate at its place between what stands before and after it, padded to one length."""
+    """What a window at start reads, padded to one length."""
     return text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0") + text[start : start + AFTER].ljust(AFTER, "\0")
 
 
@@ -75,8 +86,12 @@ class Network:
 
     @classmethod
     def encode(cls, contexts: list[str]) -> np.ndarray:
+        return cls.symbols("".join(contexts)).reshape(len(contexts), BEFORE + AFTER)
+
+    @staticmethod
+    def symbols(text: str) -> np.ndarray:
         """Numbers of the characters: 0 for padding, 96 for other white space, 97 beyond ASCII."""
-        codes = np.frombuffer("".join(contexts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(contexts), BEFORE + AFTER)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         out = np.where((codes >= 32) & (codes < 127), codes - 31, np.where(codes >= 127, 97, 96))
         return np.where(codes == 0, 0, out).astype(np.int64)
 
@@ -95,16 +110,50 @@ class Network:
         x = self.encode(contexts) if contexts else np.zeros((0, BEFORE + AFTER), np.int64)
         return np.concatenate([np.zeros(0, np.float32), *(self._forward(x[a : a + part], lengths[a : a + part])[0] for a in range(0, len(x), part))])
 
+    def run_logits(self, texts: list[str], at: np.ndarray, starts: np.ndarray, lengths: np.ndarray, block: int = 1 << 16, part: int = 512) -> np.ndarray:
+        """logits() of the windows at starts of the texts at (ascending), each text's convolution done once for all its windows.
+
+        The mark's share of a convolution depends on the window's place and length alone and is added from a table.
+        """
+        codes = [np.concatenate([self.symbols(t), np.zeros(AFTER, np.int64)]) for t in texts]
+        x = np.concatenate([np.zeros(BEFORE, np.int64), *codes, np.zeros(BEFORE + AFTER, np.int64)])
+        where = starts + np.concatenate([[0], np.cumsum([len(c) for c in codes])])[at]
+        size = self.p["emb"].shape[1]
+        taps = self.p["conv"].reshape(self.WIDE, size + 1, -1)
+        one = [self.p["emb"] @ taps[k, :size] for k in range(self.WIDE)]
+        pair = [(one[k][:, None] + one[k + 1][None, :]).reshape(self.SYMBOLS**2, -1) for k in (0, 2)]
+        wide = BEFORE + AFTER - self.WIDE + 1
+        mark = ((np.arange(BEFORE + AFTER) >= BEFORE) & (np.arange(BEFORE + AFTER) < BEFORE + np.arange(AFTER + 1)[:, None])).astype(np.float32)
+        marked = sum(mark[:, k : k + wide, None] * taps[k, size] for k in range(self.WIDE)) + self.p["cb"]
+        of_length, out = np.minimum(lengths, AFTER), np.zeros(len(where), np.float32)
+        first = 0
+        while first < len(where):
+            low = int(where[first])
+            last = int(np.searchsorted(where, low + block))
+            c = x[low : int(where[last - 1]) + BEFORE + AFTER]
+            both, m = c[:-1] * self.SYMBOLS + c[1:], len(c) - self.WIDE + 1
+            conv = pair[0][both[:m]] + pair[1][both[2 : m + 2]] + one[4][c[4 : m + 4]]
+            view = np.lib.stride_tricks.sliding_window_view(conv, wide, axis=0).transpose(0, 2, 1)
+            for a in range(first, last, part):
+                b = min(a + part, last)
+                act = view[where[a:b] - low] + marked[of_length[a:b]]
+                out[a:b] = np.maximum(act.max(axis=1), 0) @ self.p["out"] + self.p["ob"]
+            first = last
+        return out
+
+    def calibrated(self, logits: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * logits + self.shift, -30, 30)))
+
     def probabilities(self, contexts: list[str], lengths: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(contexts, lengths) + self.shift, -30, 30)))
+        return self.calibrated(self.logits(contexts, lengths))
 
-    def fit(self, contexts: list[str], lengths: np.ndarray, y: np.ndarray, *, epochs: int = 12, batch: int = 128, rate: float = 4e-3, seed: int = 11) -> None:
-        """Adam on the logistic loss, the classes weighted alike."""
+    def fit(self, contexts: list[str], lengths: np.ndarray, y: np.ndarray, *, steps: int = 600, batch: int = 128, rate: float = 4e-3, seed: int = 11) -> None:
+        """Adam on the logistic loss, the classes weighted alike; about as many steps for any number of rows."""
         rng, x = np.random.default_rng(seed), self.encode(contexts)
         weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
         m, v, t = {k: np.zeros_like(a) for k, a in self.p.items()}, {k: np.zeros_like(a) for k, a in self.p.items()}, 0
         size = self.p["emb"].shape[1]
-        for _ in range(epochs):
+        for _ in range(-(-steps * batch // max(1, len(x)))):
             order = rng.permutation(len(x))
             for a in range(0, len(x), batch):
                 rows = order[a : a + batch]
@@ -140,13 +189,21 @@ class Network:
         self.threshold = max(min_probability, float(p[int((1 - min_recall) * len(p))]) if len(p) else 1.0)
 
 
-def generated(n: int, seed: int = 3) -> tuple[list[str], list[int], list[int]]:
-    """n contexts with their candidates' lengths and labels: secrets of many forms, and look-alikes."""
+def samples(n: int, seed: int = 3) -> list[tuple[str, int, int, int]]:
+    """n texts with the span of a value in each and its label: secrets of many forms, and look-alikes."""
     rng = np.random.default_rng(seed)
     alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     some = lambda chars, k: "".join(np.array(list(chars))[rng.integers(0, len(chars), k)])
     words = lambda k: " ".join(some("etaoinshrdlu", int(rng.integers(2, 9))) for _ in range(k))
     digits, hexes = "0123456789", "0123456789abcdef"
+    word = lambda: "".join(some("bcdfghlmnprstvw", 1) + some("aeiou", 1) + some("nrstl ", 1).strip() for _ in range(int(rng.integers(3, 6))))
+
+    def trail(k: int) -> str:
+        out, between = rng.choice(["/", "", "./"]) + word(), rng.choice(["/", ".", "_", "-", "="])
+        while len(out) < k:
+            out += between + word()
+        return out
+
     secret = [
         lambda: (rng.choice(["pwd", "auth", "credential", "private_key", "client_key", "passphrase", "access_code"]) + rng.choice(["=", ": ", " = ", '="']), some(alnum, int(rng.integers(14, 40))) + some(digits, 2)),
         lambda: ("Authorization: Bearer ", some(alnum + "-_", int(rng.integers(24, 60))) + some(digits, 1)),
@@ -158,6 +215,9 @@ def generated(n: int, seed: int = 3) -> tuple[list[str], list[int], list[int]]:
         lambda: (rng.choice(["", "aws_key=", "id: "]), "ASIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16)),
         lambda: (rng.choice(["key=", "sig=", "credential: "]), some(hexes, int(rng.integers(18, 31)))),
         lambda: ("key ", some(alnum + "+/", 38) + some(digits, 1) + "=="),
+        lambda: (trail(int(rng.integers(20, 120))) + "/", some(alnum, int(rng.integers(20, 40)))),
+        lambda: (trail(int(rng.integers(20, 120))) + rng.choice([".", "_", "-"]), some(alnum, int(rng.integers(20, 40)))),
+        lambda: (trail(int(rng.integers(20, 120))) + rng.choice(["=", "/key=", "?sig="]), some(alnum, int(rng.integers(20, 40)))),
     ]
     plain = [
         lambda: ("", some(digits, int(rng.integers(12, 20)))),
@@ -172,50 +232,71 @@ def generated(n: int, seed: int = 3) -> tuple[list[str], list[int], list[int]]:
         lambda: ("", some("etaoin", 5) + "_" + some("shrdlu", 5) + "_" + some(digits, 2)),
         lambda: ("", "=" * int(rng.integers(8, 20)) + some(digits, 2) + "=" * 6),
         lambda: ("", some("etaoinshrdlu", 6) + "..." + some(digits, 1) + "." + some("etaoin", 5)),
+        lambda: ("", word() + word() + rng.choice(["", ".", "!", "?"])),
+        lambda: ("", word().capitalize() + word() + rng.choice(["", "-" + word()])),
+        lambda: ("", word().capitalize() + word().capitalize() + word().capitalize()),
+        lambda: (rng.choice(["in ", "see ", "file "]), trail(int(rng.integers(12, 140)))),
+        lambda: ("", word() + "@" + word() + rng.choice([".org", ".com", ".net"])),
+        lambda: ("", some("=-*#!.$%_~", 1) * int(rng.integers(8, 80))),
+        lambda: ("", word().upper() + rng.choice(["", "_" + word().upper()])),
     ]
-    contexts, lengths, labels = [], [], []
+    out = []
     for k in range(n):
         lead, value = (secret if k % 2 == 0 else plain)[int(rng.integers(0, len(secret if k % 2 == 0 else plain)))]()
         lead = f"{words(4)} {lead}"
-        contexts.append(context(f"{lead}{value} {words(5)}", len(lead)))
-        lengths.append(len(value))
-        labels.append(int(k % 2 == 0))
+        out.append((f"{lead}{value} {words(5)}", len(lead), len(lead) + len(value), int(k % 2 == 0)))
+    return out
+
+
+def generated(n: int, seed: int = 3) -> tuple[list[str], list[int], list[int]]:
+    """A window of each of samples() that reads 8 or more characters of the value, or all that its run has, with the run's length from there and the label."""
+    rng, contexts, lengths, labels = np.random.default_rng(seed), [], [], []
+    for text, a, b, label in samples(n, seed):
+        run = next(((m.start(), m.end()) for m in CANDIDATE.finditer(text) if a < m.end() and m.start() < b), (a, b))
+        reads = [s for s in windows(*run) if min(b, s + AFTER) - max(a, s) >= 8]
+        s = int(rng.choice(reads or [run[0]]))
+        contexts.append(context(text, s))
+        lengths.append(run[1] - s)
+        labels.append(label)
     return contexts, lengths, labels
 
 
-def findings(docs: DataFrame) -> DataFrame:
-    """Pattern findings and candidates of each document; columns as in FOUND."""
+def findings(docs: DataFrame, most: int = 2000, seed: int = 5) -> DataFrame:
+    """Windows of the corpus as in SAMPLE, for train(): of each slice of each label the most with the least hashes.
+
+    A window is positive if it reads a part of a pattern finding; the others of such a run are left out.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = []
+            rows: tuple[set, set] = (set(), set())
             for text in texts_of(batch):
                 found = base_findings(text)
-                cand = candidates(text, found)
-                rows.append(([k for _, k, _ in found], [a for a, _, _ in found], [b for _, _, b in found], [a for a, _, _ in cand], [b for _, b, _ in cand], [context(text, a) for a, _, _ in cand], [y for _, _, y in cand]))
-            names = [x.split()[0] for x in FOUND.split(", ")][1:]
-            yield record_batch(FOUND, {"doc_id": batch.column("doc_id")} | dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
+                for a, b, y in candidates(text, found):
+                    for s in windows(a, b):
+                        if not y or any(f < min(b, s + AFTER) and s < e for f, _, e in found):
+                            c = context(text, s)
+                            rows[y].add((zlib.crc32(c.encode("utf-8", "surrogatepass"), seed), c, b - s))
+                    if len(rows[y]) > 16 * most:
+                        rows[y].intersection_update(heapq.nsmallest(most, rows[y]))
+            picked = [(*r, y) for y in (0, 1) for r in heapq.nsmallest(most, rows[y])]
+            yield record_batch(SAMPLE, dict(zip(("h", "context", "length", "label"), map(list, zip(*picked, strict=True)), strict=True)) if picked else {"h": [], "context": [], "length": [], "label": []})
 
-    return docs.mapInArrow(find, FOUND)
+    return docs.mapInArrow(find, SAMPLE)
 
 
 def train(found: DataFrame, max_sample: int = 4000, min_recall: float = 0.98, min_probability: float = 0.5, seed: int = 5) -> Network:
-    """A network from a bounded sample of the labelled candidates, picked by their hashes."""
-    each = found.where(F.size("contexts") > 0).select(F.explode(F.arrays_zip("contexts", "candidate_starts", "candidate_ends", "labels")).alias("c"))
-    each = each.select(F.col("c.contexts").alias("context"), (F.col("c.candidate_ends") - F.col("c.candidate_starts")).alias("length"), F.col("c.labels").alias("label"))
+    """A network from a bounded sample of the labelled windows, those with the least hashes."""
     rows = []
     for label in (0, 1):
-        of = each.where(F.col("label") == label).withColumn("h", F.xxhash64(F.lit(seed), "context"))
-        if n := of.count():
-            bound = -(2**63) + int(min(1.0, 1.2 * max_sample / 2 / n) * (2**64 - 1))
-            rows += of.where(F.col("h") <= F.lit(min(bound, 2**63 - 1))).orderBy("h", "context", "length").limit(max_sample // 2).collect()
+        rows += found.where(F.col("label") == label).distinct().orderBy("h", "context", "length").limit(max_sample // 2).collect()
     contexts, lengths, labels = generated(max_sample)
     contexts, lengths, labels = contexts + [r.context for r in rows], np.array(lengths + [r.length for r in rows]), np.array(labels + [r.label for r in rows])
     held = np.random.default_rng(seed).random(len(labels)) < 0.25
     pick = lambda keep: ([c for c, k in zip(contexts, keep, strict=True) if k], lengths[keep], labels[keep])
     net = Network()
     net.fit(*pick(~held))
-    # a corpus candidate outside the patterns is not surely harmless: those that look like findings go without a label
+    # a corpus candidate outside the patterns is not surely harmless: those that look like findings are not trained on
     doubtful = (labels == 0) & (net.probabilities(contexts, lengths) > 0.5)
     doubtful[:max_sample] = False
     if doubtful.any():
@@ -229,27 +310,33 @@ def train(found: DataFrame, max_sample: int = 4000, min_recall: float = 0.98, mi
 def scan_secrets(docs: DataFrame, *, max_sample: int = 4000, min_recall: float = 0.98, min_probability: float = 0.5) -> DataFrame:
     """All findings of each document; columns as in RESULT.
 
-    Texts are read once: findings and candidates with their contexts are stored in the shared folder.
+    Texts are read twice, for the sample and for the scan; only the sample is stored.
     scores: 1 for the patterns, else the calibrated probability.
     """
     docs = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = stored(findings(docs), "findings")
-    net = train(found, max_sample, min_recall, min_probability)
+    net = train(stored(findings(docs, max_sample // 2), "windows"), max_sample, min_recall, min_probability)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = {f: batch.column(f).to_pylist() for f in batch.schema.names}
-            contexts = [c for x in cols["contexts"] for c in x]
-            at = [(k, a, b, y) for k in range(batch.num_rows) for a, b, y in zip(cols["candidate_starts"][k], cols["candidate_ends"][k], cols["labels"][k], strict=True)]
-            p = net.probabilities(contexts, np.array([b - a for _, a, b, _ in at], np.int64))
-            rows = [[(a, k, b, 1.0) for k, a, b in zip(*(cols[c][i] for c in ("kinds", "starts", "ends")), strict=True)] for i in range(batch.num_rows)]
-            for (i, a, b, y), q in zip(at, p.tolist(), strict=True):
-                if not y and q >= net.threshold:
-                    rows[i].append((a, KINDS.index("cnn"), b, q))
+        for batch in slices(batches):
+            texts = texts_of(batch)
+            rows, runs = [], []
+            for i, text in enumerate(texts):
+                found = base_findings(text)
+                rows.append([(a, k, b, 1.0) for a, k, b in found])
+                runs += [(i, a, b) for a, b, y in candidates(text, found) if not y]
+            if runs:
+                of, a, b = np.array(runs, np.int64).T
+                n = np.maximum(1, -(-(b + TAIL - AFTER + STEP - a) // STEP))  # len(windows(a, b))
+                first = np.cumsum(n) - n
+                starts = np.repeat(a, n) + STEP * (np.arange(n.sum()) - np.repeat(first, n))
+                p = net.calibrated(np.maximum.reduceat(net.run_logits(texts, np.repeat(of, n), starts, np.repeat(b, n) - starts), first))
+                for k in np.flatnonzero(p >= net.threshold).tolist():
+                    i, start, end = runs[k]
+                    rows[i].append((start, KINDS.index("cnn"), end, float(p[k])))
             rows = [sorted(r) for r in rows]
             yield record_batch(RESULT, {"doc_id": batch.column("doc_id"), "kinds": [[KINDS[k] for _, k, _, _ in r] for r in rows], "starts": [[a for a, _, _, _ in r] for r in rows], "ends": [[b for _, _, b, _ in r] for r in rows], "scores": [[q for *_, q in r] for r in rows]})
 
-    return found.mapInArrow(judge, RESULT)
+    return docs.mapInArrow(judge, RESULT)
 
 
 def digest(result: DataFrame) -> DataFrame:
