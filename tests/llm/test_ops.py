@@ -168,6 +168,16 @@ def test_all_of_a_long_run_is_read(spark):
     assert spans == {1: f"cnn:4:{len(lead + secret)}", 2: ""}
 
 
+def test_recall_is_counted_before_the_gate(spark):
+    rows = [(k, t, a, b) for k, (t, a, b, y) in enumerate(secret_scan.samples(1200, seed=98)) if y]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: list(zip(r.starts, r.ends)) for r in secret_scan.scan_secrets(df).collect()}
+    hit = [any(a < e and s < b for s, e in got[k]) for k, _, a, b in rows]
+    bare = [h for h, (_, t, a, b) in zip(hit, rows) if not re.search("[0-9]", t[a:b])]
+    brief = [h for h, (_, _, a, b) in zip(hit, rows) if b - a < 12]
+    assert np.mean(hit) > 0.94 and len(bare) > 50 and np.mean(bare) > 0.85 and len(brief) > 20 and np.mean(brief) > 0.7
+
+
 # 3
 
 

@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and a character convolutional network over all other candidates.
 
-The patterns (BASE) give labelled findings. A candidate is any other run of 12 or more characters of
-ALPHABET with a digit; the finding is the whole run. The network reads windows of a run:
+The patterns (BASE) give labelled findings. A candidate is any other run of 8 or more characters of
+ALPHABET, with or without a digit; the finding is the whole run. The network reads windows of a run:
 BEFORE characters before a place in it and AFTER from there on. Windows start every STEP characters until
 one holds all up to TAIL characters behind the run's end, and the run's score is the highest of them. The
 network is trained on the driver on a bounded sample: at most max_sample labelled windows of the corpus
@@ -37,9 +37,8 @@ BASE = (
 )
 #: The same matches as the last of BASE; the engine skips short runs faster.
 _LONG_HEX = re.compile(r"[0-9a-f]{32,}")
-ALPHABET = r"A-Za-z0-9+/_.=-"
-CANDIDATE = re.compile(f"[{ALPHABET}]{{12,}}")
-_DIGIT = re.compile(r"[0-9]")
+ALPHABET = r"A-Za-z0-9+/_.=!@$%^&*#~?-"
+CANDIDATE = re.compile(f"[{ALPHABET}]{{8,}}")
 BEFORE, AFTER, STEP, TAIL = 32, 48, 24, 16
 SAMPLE = "h long, context string, length int, label int"
 RESULT = "doc_id long, kinds array<string>, starts array<int>, ends array<int>, scores array<float>"
@@ -55,7 +54,7 @@ def base_findings(text: str) -> list[tuple[int, int, int]]:
 
 def candidates(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, end, 1 if it overlaps a pattern finding) of each candidate."""
-    return [(m.start(), m.end(), int(any(a < m.end() and m.start() < b for a, _, b in found))) for m in CANDIDATE.finditer(text) if _DIGIT.search(m[0])]
+    return [(m.start(), m.end(), int(any(a < m.end() and m.start() < b for a, _, b in found))) for m in CANDIDATE.finditer(text)]
 
 
 def windows(start: int, end: int) -> range:
@@ -195,7 +194,8 @@ def samples(n: int, seed: int = 3) -> list[tuple[str, int, int, int]]:
     alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     some = lambda chars, k: "".join(np.array(list(chars))[rng.integers(0, len(chars), k)])
     words = lambda k: " ".join(some("etaoinshrdlu", int(rng.integers(2, 9))) for _ in range(k))
-    digits, hexes = "0123456789", "0123456789abcdef"
+    digits, hexes, letters, special = "0123456789", "0123456789abcdef", alnum[:52], "!@$%^&*#"
+    names = ["pwd", "auth", "credential", "private_key", "client_key", "passphrase", "access_code"]
     word = lambda: "".join(some("bcdfghlmnprstvw", 1) + some("aeiou", 1) + some("nrstl ", 1).strip() for _ in range(int(rng.integers(3, 6))))
 
     def trail(k: int) -> str:
@@ -215,6 +215,10 @@ def samples(n: int, seed: int = 3) -> list[tuple[str, int, int, int]]:
         lambda: (rng.choice(["", "aws_key=", "id: "]), "ASIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16)),
         lambda: (rng.choice(["key=", "sig=", "credential: "]), some(hexes, int(rng.integers(18, 31)))),
         lambda: ("key ", some(alnum + "+/", 38) + some(digits, 1) + "=="),
+        lambda: (rng.choice(names) + rng.choice([": ", "=", " = "]), some(alnum + special, int(rng.integers(8, 12)))),
+        lambda: (rng.choice(names) + rng.choice([": ", "=", " = "]), some(alnum, 4) + some(special, 1) + some(alnum, int(rng.integers(4, 9))) + some(special, 1) + some(alnum, 3)),
+        lambda: (rng.choice(["", "key ", rng.choice(names) + ": "]), some(letters, int(rng.integers(16, 44)))),
+        lambda: (rng.choice(names) + rng.choice([": ", "=", " = "]), some("abcdefghijklmnopqrstuvwxyz", int(rng.integers(8, 26)))),
         lambda: (trail(int(rng.integers(20, 120))) + "/", some(alnum, int(rng.integers(20, 40)))),
         lambda: (trail(int(rng.integers(20, 120))) + rng.choice([".", "_", "-"]), some(alnum, int(rng.integers(20, 40)))),
         lambda: (trail(int(rng.integers(20, 120))) + rng.choice(["=", "/key=", "?sig="]), some(alnum, int(rng.integers(20, 40)))),
