@@ -178,6 +178,20 @@ def test_recall_is_counted_before_the_gate(spark):
     assert np.mean(hit) > 0.94 and len(bare) > 50 and np.mean(bare) > 0.85 and len(brief) > 20 and np.mean(brief) > 0.7
 
 
+def test_threshold_keeps_the_recall_asked_for(spark, monkeypatch):
+    net, y = secret_scan.Network(), np.array([1] * 100 + [0] * 5000)
+    z = np.random.default_rng(1).normal(0, 1, len(y)) + y
+    monkeypatch.setattr(net, "logits", lambda contexts, lengths: z)
+    net.calibrate([], np.zeros(len(y)), y, 0.98)
+    p = net.probabilities([], np.zeros(len(y)))
+    assert net.threshold < 0.5 and (p[y == 1] >= net.threshold).mean() >= 0.98
+    asked = []
+    monkeypatch.setattr(secret_scan.Network, "calibrate", lambda self, contexts, lengths, y, *more: asked.append(contexts))
+    text = "auth: " + " auth: ".join(f"Zk9{k:03}Qm7Xw4Tr8Vb2" for k in range(100))  # negatives of the corpus that look like findings
+    secret_scan.train(secret_scan.findings(spark.createDataFrame([(1, text)], "doc_id long, text string")), max_sample=1000)
+    assert sum("Qm7Xw4Tr8Vb2" in c for c in asked[0]) > 10
+
+
 # 3
 
 

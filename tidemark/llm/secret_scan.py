@@ -7,8 +7,8 @@ one holds all up to TAIL characters behind the run's end, and the run's score is
 network is trained on the driver on a bounded sample: at most max_sample labelled windows of the corpus
 (those that read a pattern finding are positive, the rest negative) and as many generated findings and
 look-alikes. A held-back part calibrates its probabilities (Platt scaling) and sets the threshold: the
-highest one that keeps min_recall of the held-back positives, but not below min_probability. Corpus negatives
-that a first network takes for findings are left out.
+highest one that keeps min_recall of the held-back positives. Corpus negatives that a first network,
+trained without their half of the sample, takes for findings are left out of the training part only.
 
 Null text: no findings. Empty table: no rows. Repeated rows are scanned alike. Extra columns are
 ignored. Findings of one document are ordered by start, then by kind as in KINDS.
@@ -173,7 +173,7 @@ class Network:
                     v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
                     self.p[k] -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-7)).astype(np.float32)
 
-    def calibrate(self, contexts: list[str], lengths: np.ndarray, y: np.ndarray, min_recall: float, min_probability: float) -> None:
+    def calibrate(self, contexts: list[str], lengths: np.ndarray, y: np.ndarray, min_recall: float) -> None:
         """Platt scaling by Newton steps on smoothed labels; then the threshold."""
         z = self.logits(contexts, lengths).astype(np.float64)
         target = np.where(y == 1, ((y == 1).sum() + 1) / ((y == 1).sum() + 2), 1 / ((y == 0).sum() + 2))
@@ -185,7 +185,7 @@ class Network:
             w -= np.linalg.solve(hess, grad)
         self.scale, self.shift = float(w[0]), float(w[1])
         p = np.sort((1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))[y == 1])
-        self.threshold = max(min_probability, float(p[int((1 - min_recall) * len(p))]) if len(p) else 1.0)
+        self.threshold = float(p[int((1 - min_recall) * len(p))]) if len(p) else 1.0
 
 
 def samples(n: int, seed: int = 3) -> list[tuple[str, int, int, int]]:
@@ -289,7 +289,7 @@ def findings(docs: DataFrame, most: int = 2000, seed: int = 5) -> DataFrame:
     return docs.mapInArrow(find, SAMPLE)
 
 
-def train(found: DataFrame, max_sample: int = 4000, min_recall: float = 0.98, min_probability: float = 0.5, seed: int = 5) -> Network:
+def train(found: DataFrame, max_sample: int = 4000, min_recall: float = 0.98, seed: int = 5) -> Network:
     """A network from a bounded sample of the labelled windows, those with the least hashes."""
     rows = []
     for label in (0, 1):
@@ -298,27 +298,29 @@ def train(found: DataFrame, max_sample: int = 4000, min_recall: float = 0.98, mi
     contexts, lengths, labels = contexts + [r.context for r in rows], np.array(lengths + [r.length for r in rows]), np.array(labels + [r.label for r in rows])
     held = np.random.default_rng(seed).random(len(labels)) < 0.25
     pick = lambda keep: ([c for c, k in zip(contexts, keep, strict=True) if k], lengths[keep], labels[keep])
+    # a corpus candidate outside the patterns is not surely harmless: those that look like findings to a network
+    # that was not told otherwise of them are not trained on
+    corpus, half = (labels == 0) & (np.arange(len(labels)) >= max_sample), np.arange(len(labels)) % 2
+    doubtful = np.zeros(len(labels), bool)
+    for k in (0, 1):
+        if (asked := corpus & (half == k)).any():
+            net = Network()
+            net.fit(*pick(~held & ~asked))
+            doubtful[asked] = net.probabilities(*pick(asked)[:2]) > 0.5
     net = Network()
-    net.fit(*pick(~held))
-    # a corpus candidate outside the patterns is not surely harmless: those that look like findings are not trained on
-    doubtful = (labels == 0) & (net.probabilities(contexts, lengths) > 0.5)
-    doubtful[:max_sample] = False
-    if doubtful.any():
-        contexts, lengths, labels, held = *pick(~doubtful), held[~doubtful]
-        net = Network()
-        net.fit(*pick(~held))
-    net.calibrate(*pick(held), min_recall, min_probability)
+    net.fit(*pick(~held & ~doubtful))
+    net.calibrate(*pick(held), min_recall)
     return net
 
 
-def scan_secrets(docs: DataFrame, *, max_sample: int = 4000, min_recall: float = 0.98, min_probability: float = 0.5) -> DataFrame:
+def scan_secrets(docs: DataFrame, *, max_sample: int = 4000, min_recall: float = 0.98) -> DataFrame:
     """All findings of each document; columns as in RESULT.
 
     Texts are read twice, for the sample and for the scan; only the sample is stored.
     scores: 1 for the patterns, else the calibrated probability.
     """
     docs = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    net = train(stored(findings(docs, max_sample // 2), "windows"), max_sample, min_recall, min_probability)
+    net = train(stored(findings(docs, max_sample // 2), "windows"), max_sample, min_recall)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
