@@ -496,6 +496,16 @@ def test_simhash(tables, table):
     assert sorted_rows(simhash.near_duplicates(df).collect()) == sorted_rows(expected)
 
 
+def test_one_document_of_each_component_stays(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(80)) for c in "abc")
+    rows = [(5, one), (1, two), (5, two), (7, one), (7, one), (None, three), (None, three), (None, three + " end"), (None, one)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.keep_one(df)
+    roots = simhash.grouped(df, 4, 4).select("root").distinct().count()
+    got = [tuple(r) for r in kept.collect()]
+    assert len(got) == roots and (5, one) in got and (1, two) in got and sum((t or "").startswith(three) for _, t in got) >= 1 and (5, two) not in got
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_links_span_the_components(spark, seed):
     rng = np.random.default_rng(seed)

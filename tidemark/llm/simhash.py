@@ -58,10 +58,10 @@ def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             fps = np.array([fingerprint(t, size) for t in texts_of(batch)], np.uint64).view(np.int64)
-            yield record_batch("doc_id long, fp long", {"doc_id": batch.column("doc_id"), "fp": fps})
+            yield record_batch("doc_id long, th long, fp long", {"doc_id": batch.column("doc_id"), "th": batch.column("th"), "fp": fps})
 
     docs = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(count, "doc_id long, fp long")
+    return docs.withColumn("th", F.xxhash64("text")).mapInArrow(count, "doc_id long, th long, fp long")
 
 
 def gray_rank(fps: np.ndarray) -> np.ndarray:
@@ -248,6 +248,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def grouped(docs: DataFrame, size: int, bits: int) -> DataFrame:
+    """fp, doc_id, th (the text's hash), root (the component's own number) and component_id of each row."""
+    prints = stored(fingerprints(docs, size), "fingerprints")
+    entries = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "entries")
+    roots = components(links(entries.select("fp"), bits))
+    named = entries.join(roots, entries.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    groups = named.join(smallest, "root").select("fp", "root", "component_id")
+    return prints.join(groups, "fp")
+
+
 def near_duplicates(docs: DataFrame, *, size: int = 4, bits: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of each row.
 
@@ -256,20 +267,19 @@ def near_duplicates(docs: DataFrame, *, size: int = 4, bits: int = 4) -> DataFra
     texts have fingerprint zero and link as any other. Empty table: no rows. Repeated rows each get
     their row. Extra columns are ignored.
     """
-    prints = stored(fingerprints(docs, size), "fingerprints")
-    entries = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "entries")
-    roots = components(links(entries.select("fp"), bits))
-    named = entries.join(roots, entries.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = named.join(smallest, "root").select("fp", "component_id")
-    return prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return grouped(docs, size, bits).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, *, size: int = 4, bits: int = 4) -> DataFrame:
-    """The rows of docs, all columns, that have the smallest doc_id of their component.
+    """One row of each component, all columns: the one with the least doc_id (null last), of equal ones the least hash of the text.
 
-    Rows with equal doc_id stay or go together. Rows of null doc_id, which nothing names, stay.
+    Of rows equal in doc_id and text, any one stays.
     """
-    found = near_duplicates(docs, size=size, bits=bits)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    found = stored(grouped(docs, size, bits).select("root", "doc_id", "th"), "components")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
+    rows = found.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
+    chosen = first.select(F.col("first.doc_id").alias("d"), F.col("first.th").alias("t"))
+    again = stored(chosen.join(rows, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("th"))).select("d", "t", "n"), "chosen")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("t"))
+    repeated = docs.join(again.where("n > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(again.where("n = 1"), same, "left_semi").unionByName(repeated)
