@@ -300,9 +300,7 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @pytest.mark.parametrize("table", ["edge", "small", "empty"])
@@ -322,11 +320,27 @@ def test_token_files(tables, table, tokenizer):
 def test_token_pieces(tokenizer):
     import public_tokenizers
 
-    rng, code = random.Random(1), token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"), most=50)
-    texts = ["".join(rng.choice(" \n\t\r\x0b\x1c\x1f\x85  　ab'sé1.!<|>日\U0001f600") for _ in range(rng.randrange(0, 30))) for _ in range(3000)] + ["<|endoftext|> a <|endoftext|>", "it's we'll 'd 's"]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng, code, special = random.Random(1), token_files.Encoder(path, most=50), "<|endoftext|>"
+    texts = ["".join(rng.choice([special, " ", "  ", "\n", "a", " b", "é.", "<|", "|>", "\n\n", "\t", "1", "'s"]) for _ in range(rng.randrange(0, 12))) for _ in range(3000)]
+    texts += ["".join(rng.choice(" \n\t\r\x0b\x1c\x1f\x85  　ab'sé1.!<|>日\U0001f600") for _ in range(rng.randrange(0, 30))) for _ in range(3000)] + ["<|endoftext|> a <|endoftext|>", "see <|endoftext|> here", special, f" {special}", f"{special}x{special}", f"a  {special}  b", f"\n{special}\n\n", "it's we'll 'd 's"]
     for a in range(0, len(texts), 100):
         for t, ids in zip(texts[a : a + 100], code.encode(texts[a : a + 100]), strict=True):
             assert ids.tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+    assert len(code.encode(["see <|endoftext|> here"])[0]) == 4 and len(token_files.Encoder(path, special_as_text=True).encode(["see <|endoftext|> here"])[0]) == 9
+    with pytest.raises(ValueError, match="byte-level"):
+        token_files.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_token_files_of_a_second_attempt(spark, tmp_path):
+    import public_tokenizers
+
+    df = spark.createDataFrame([(2, "two <|endoftext|>"), (1, None)], "doc_id long, text string").coalesce(1)
+    path, folder = public_tokenizers.path("byte_bpe_50k.json"), f"file://{tmp_path}/t"
+    first = token_files.write_tokens(df, folder, path)
+    raw = [(tmp_path / "t" / f["path"].rpartition("/")[2]).read_bytes() for f in first]
+    assert token_files.write_tokens(df, folder, path) == first and raw == [(tmp_path / "t" / f["path"].rpartition("/")[2]).read_bytes() for f in first]
+    assert sorted(p.name for p in (tmp_path / "t").iterdir() if not p.name.startswith(".")) == sorted([*(f["path"].rpartition("/")[2] for f in first), "manifest.json"])
 
 
 def test_token_file_reads_only_what_is_asked_for_and_finds_damage(tmp_path):

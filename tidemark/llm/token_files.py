@@ -49,15 +49,18 @@ class Encoder:
     A byte-level tokenizer first cuts a text into pre-tokens, and none of them reaches from a visible
     character over a following space or line break. So the ids of a text are those of its pieces, cut
     there, one after the other. New pieces of letters go straight to the tokenizer's model, spelled in
-    its byte alphabet; all others go through the whole tokenizer.
+    its byte alphabet; all others go through the whole tokenizer. The strings of special tokens become
+    these tokens, as by the library's default; with special_as_text they are text like any other.
+    Tokenizers for which this would not hold are refused.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, most: int = 1_000_000, special_as_text: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        _refuse_others(json.loads(self.tokenizer.to_str()))
+        self.tokenizer.encode_special_tokens = special_as_text
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.most, self.model = most, self.tokenizer.model
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -140,9 +143,19 @@ class Encoder:
         return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
+def _refuse_others(spec: dict) -> None:
+    """ValueError unless texts may be cut as Encoder cuts them: a plain byte-level BPE, special tokens without white space."""
+    cut, model = spec["pre_tokenizer"] or {}, spec["model"]
+    plain = not spec["normalizer"] and cut.get("type") == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"]
+    plain = plain and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    added = all(re.fullmatch(r"[^\sA-Za-z\u00c0-\u024f.,]\S*", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in spec["added_tokens"])
+    if not plain or not added:
+        raise ValueError("only byte-level BPE tokenizers without a normalizer, and with plain added tokens, can be encoded piece by piece")
+
+
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
+    return Encoder(path, special_as_text=special_as_text)
 
 
 def write_file(out, documents: Iterator[tuple[int | None, np.ndarray]], width: int) -> tuple[int, int]:
@@ -197,17 +210,18 @@ class TokenFile:
         self.file.close()
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str) -> list[dict]:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, *, special_as_text: bool = False) -> list[dict]:
     """Write the token files of all docs to the folder; a row for each file, in order, with its first start.
 
     folder: a URI that executors can write to. Null text: only the end. Repeated rows are each written.
-    Empty table: no files. Extra columns are ignored. The rows are also kept in manifest.json there.
+    Empty table: no files. Extra columns are ignored. Very long texts are encoded whole, one frame each.
+    The rows are also kept in manifest.json there.
     """
     docs = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange(F.asc_nulls_first("doc_id"), "tie").sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie", "text").select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, shard, code = TaskContext.get(), TaskContext.get().partitionId(), encoder(tokenizer)
+        own, shard, code = TaskContext.get(), TaskContext.get().partitionId(), encoder(tokenizer, special_as_text)
 
         def documents() -> Iterator[tuple[int | None, np.ndarray]]:
             for batch in slices(batches):
@@ -220,6 +234,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str) -> list[dict]:
         with fs.open_output_stream(f"{root}/.{name}.{own.taskAttemptId()}") as out:
             n_docs, n_tokens = write_file(out, documents(), code.width)
         if n_docs:
+            if fs.get_file_info(f"{root}/{name}").type == pyarrow.fs.FileType.File:  # of an earlier attempt; not every file system moves onto it
+                fs.delete_file(f"{root}/{name}")
             fs.move(f"{root}/.{name}.{own.taskAttemptId()}", f"{root}/{name}")
             yield record_batch(WRITTEN, {"shard": [shard], "path": [f"{folder}/{name}"], "n_docs": [n_docs], "n_tokens": [n_tokens]})
         else:
@@ -252,11 +268,11 @@ def read_tokens(spark, files: list[dict]) -> DataFrame:
     return rows.repartition(max(1, len(files)), "path").mapInArrow(read, RESULT)
 
 
-def token_files(docs: DataFrame, tokenizer: str | None = None, folder: str | None = None) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str | None = None, folder: str | None = None, *, special_as_text: bool = False) -> DataFrame:
     """Write the token files of docs and read them back; columns as in RESULT."""
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     spark = docs.sparkSession
-    return read_tokens(spark, write_tokens(docs, folder or new_path(spark, "tokens"), tokenizer))
+    return read_tokens(spark, write_tokens(docs, folder or new_path(spark, "tokens"), tokenizer, special_as_text=special_as_text))
