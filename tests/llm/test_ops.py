@@ -215,32 +215,69 @@ def test_lm_score(tables, table):
         assert r.score < 0 and math.isfinite(r.score)
 
 
-def plain_suffix_score(tree_of, text):
-    kept, smooth = tree_of
-    s, total = b"\n" + b" ".join(words(text, lower=True)) + b"\n", 0.0
-    for i in range(1, len(s)):
-        state = s[max(0, i - lm_score.DEPTH) : i]
-        while state not in kept:
-            state = state[1:]
-        total += math.log10(smooth[state][s[i]])
-    return total
-
-
-def test_suffix_tree_walk_is_a_distribution_and_cuts_change_nothing(spark, small):
-    tree = lm_score.grow(lm_score.context_counts(lm_score.chunked(small)), min_share=1e-3)
-    unseen = 256 - len(set(tree.code_of.tolist())) + 1
-    mass = (10.0 ** tree.logs).sum(axis=1) + (10.0 ** tree.logs[:, -1]) * (unseen - 1)
-    assert np.allclose(mass, 1, atol=1e-4) and len(tree.moves) > 50
-    texts = [r.text for r in small.limit(40).collect()] + ["", "q"]
-    stream = lm_score.stream_of(texts)
-    long, short = tree.score(stream, len(texts), 10**6), tree.score(stream, len(texts), 7)
-    assert np.allclose(long, short)
-    for text, score in zip(texts[:5], long, strict=False):
-        state, total = int(tree.moves[0, tree.code_of[10]]), 0.0
-        for b in b" ".join(words(text, lower=True)) + b"\n":
-            total += float(tree.logs[state, tree.code_of[b]])
-            state = tree.moves[state, tree.code_of[b]]
-        assert math.isclose(total, score, rel_tol=1e-6)
+def string_of(text):
+    return b"\n" + b" ".join(words(text, lower=True)) + b"\n"
+
+
+class PlainTree:
+    """Contexts in dicts, all probabilities by their definition."""
+
+    def __init__(self, texts, depth, least):
+        self.depth, self.least, self.count, self.held = depth, least, collections.defaultdict(collections.Counter), {}
+        for s in map(string_of, texts):
+            for i in range(1, len(s)):
+                for k in range(min(depth, i) + 1):
+                    self.count[s[i - k : i]][s[i]] += 1
+
+    def both(self, context):
+        """The context's smoothed distribution, and that of its longest retained suffix."""
+        if context not in self.held:
+            c = np.array([self.count[context][b] for b in range(256)]) if context in self.count else np.zeros(256)
+            n, seen = c.sum(), (c > 0).sum()
+            if not context:
+                p = (c + 1) / (n + 256)
+                self.held[context] = p, p
+            else:
+                p, best = self.both(context[1:])
+                if n >= max(1, self.least):
+                    mine, here = (c + seen * p) / (n + seen), c > 0
+                    gain = (c[here] * np.log(c[here] / n / p[here])).sum()
+                    p, best = mine, mine if gain > 0.5 * seen * np.log(n) else best
+                self.held[context] = p, best
+        return self.held[context]
+
+    def score(self, text):
+        s = string_of(text)
+        return sum(math.log10(self.both(s[max(0, i - self.depth) : i])[1][s[i]]) for i in range(1, len(s)))
+
+
+@pytest.mark.parametrize(("depth", "least", "group"), [(6, 5, 32 << 20), (4, 2, 1), (3, 20, 40_000)])
+@pytest.mark.parametrize("table", ["edge", "small", "empty"])
+def test_suffix_tree_against_a_plain_one(tables, table, depth, least, group):
+    df, docs = tables[table]
+    if table == "edge":
+        df, docs = df.where("length(text) < 10000 or text is null"), [d for d in docs if len(d[1] or "") < 10_000]
+    docs, df = docs[:60], df if table != "small" else df.limit(60)
+    docs = [(r.doc_id, r.text) for r in df.collect()]
+    tree = PlainTree([t for i, t in docs if not lm_score.held_out(i)], depth, least)
+    got = lm_score.score_documents(df, depth=depth, least=least, group=group).collect()
+    ours, theirs = sorted((repr(r.doc_id), r.score) for r in got), sorted((repr(i), tree.score(t)) for i, t in docs)
+    assert [i for i, _ in ours] == [i for i, _ in theirs] and np.allclose([x for _, x in ours], [x for _, x in theirs], rtol=1e-5)
+
+
+def test_suffix_tree_states_are_distributions_and_grow_with_the_corpus(small):
+    texts, states = [r.text for r in small.collect()], []
+    for some in (texts[:20], texts):
+        key, n = np.unique(lm_score.places_of(lm_score.stream_of(some)), return_counts=True)
+        contexts = np.unique(key >> 8)[::97]
+        every = np.unique(np.concatenate([key, (contexts[:, None] << 8 | np.arange(256)).ravel()]))
+        count = np.zeros(len(every))
+        count[np.searchsorted(every, key)] = n
+        shift = 8 * (lm_score.DEPTH - lm_score.NEAR + 1) + 8
+        p, kept = lm_score.probabilities(every, count, lm_score.Root(every >> shift, every & 255, count), least=2)
+        assert np.allclose([p[every >> 8 == c].sum() for c in contexts[:200]], 1, atol=1e-5)
+        states.append(kept)
+    assert states[1] > 2 * states[0] > 0
 
 
 def test_suffix_tree_learns(spark):

@@ -94,6 +94,30 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: i
             yield batch.slice(int(a), int(b - a))
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], keys: tuple[str, ...], least: int = 1 << 18) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns in parts of least rows or more that never cut a group; rows come in the order of their groups (keys).
+
+    A group is held whole, each of its rows once.
+    """
+    held: list[tuple[np.ndarray, ...]] = []
+    size, of = 0, [columns.index(k) for k in keys]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in columns)
+        if size >= least:
+            other = np.logical_or.reduce([part[k] != held[-1][k][-1] for k in of])
+            if other.any():
+                cut = int(other.argmax())
+                held.append(tuple(x[:cut] for x in part))
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, size, part = [], 0, tuple(x[cut:] for x in part)
+        held.append(part)
+        size += len(part[0])
+    if size:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The column's strings, null as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]

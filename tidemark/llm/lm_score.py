@@ -2,36 +2,44 @@
 
 A text is read as its words, A-Z in lower case, joined by one space and closed by END; such a string
 stands for one sequence of words, so the tree's probability of the string is one of the word sequence.
-States are contexts of up to DEPTH bytes. Gathered are the counts of every context of full depth with
-its next byte, over all training documents; shorter contexts follow by summing. A context is considered
-if it makes up MIN_SHARE of all places (so at most DEPTH / MIN_SHARE are, whatever the size of the
-corpus, and the tree may travel with the tasks), and retained if its next-byte distribution diverges
-from its parent's (the context without its first byte): n * KL must exceed half of ln n for each next
-byte seen. Distributions are smoothed with the parent's, which weighs as much as there
-are next bytes seen, up to the root, which is smoothed with the
-uniform one. Scoring follows the longest retained suffix: states are closed under prefixes, so one table
-of moves does, and all texts of a chunk are walked in step, cut into segments that each start with the
-DEPTH bytes before them.
-
-Word counts, for the base score, come from the same documents: each chunk sends its distinct words once
-and gets their counts over the training documents back.
+States are contexts of up to DEPTH bytes. A context is considered if it stands LEAST times or more in the
+training documents, and retained if its next-byte distribution diverges from its parent's (the context
+without its first byte): n * KL must exceed half of ln n for each next byte seen. Distributions are
+smoothed with the parent's, which weighs as much as there are next bytes seen, up to the root, which is
+smoothed with the uniform one. A byte is scored in the longest suffix of its context that is retained.
+
+The bar is a count and not a share, so the tree grows with the corpus; no task and no driver holds it.
+Documents are dealt in groups of about GROUP bytes of text. Each group sends its distinct places (context
+of full depth and next byte) once, with their training counts, and gets a log probability for each back.
+Counts are summed by place over all groups. The tree is then walked in parts: contexts that share their
+nearest NEAR bytes are one part, which holds all states deeper than NEAR - 1 for them, in the order of
+their bytes from the nearest on. States of less depth are made first; as there are at most 256 ** 3
+places of that depth, they may travel (ROOT_BYTES at most).
+
+Word counts, for the base score, take the same way: a group sends its distinct words once.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import PLACE_BITS, chunked, opened
-from .common import record_batch, stored, texts_of, words_of
+from .chunks import chunked, opened
+from .common import _ASCII_LOWER, record_batch, stored, texts_of, whole_groups, words_of
 
-END, PAD, DEPTH, MIN_SHARE = 10, 13, 5, 5e-6
+END, PAD, DEPTH, NEAR, LEAST, GROUP = 10, 13, 6, 3, 5, 32 << 20
+ROOT_BYTES = 2 * 256**3 * 4
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+GATHERED = "grp long, key long, word binary, n long"
+#: What meets in a group's task: slot is 4 * group + kind; kinds are contexts (a: place), words (a: count, b: word) and chunks (b: payload).
+MET = "slot long, a long, b binary, v float"
+CONTEXTS, WORDS, CHUNKS = 0, 1, 2
 
 
 def held_out(doc_id: int | None, folds: int = 7, fold: int = 2) -> bool:
@@ -41,185 +49,210 @@ def held_out(doc_id: int | None, folds: int = 7, fold: int = 2) -> bool:
 
 def stream_of(texts: list[str]) -> np.ndarray:
     """The bytes of the texts' strings, each closed by END, with END before the first."""
-    from .common import _ASCII_LOWER
-
     parts = [b" ".join(t.encode("utf-8", "surrogatepass").translate(_ASCII_LOWER).split()) for t in texts]
     return np.frombuffer(b"\n" + b"\n".join(parts) + b"\n" if parts else b"\n", np.uint8)
 
 
-def context_keys(stream: np.ndarray, depth: int) -> np.ndarray:
+def places_of(stream: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     """For each byte but the first: its context, the nearest byte highest, and itself in the lowest byte.
 
     A context ends at the END before the text; PAD stands beyond it.
     """
     at = np.arange(len(stream))
     since = at - 1 - np.maximum.accumulate(np.where(stream == END, at, 0))[np.maximum(at - 1, 0)]
-    key = stream[1:].astype(np.uint64)
+    key = stream[1:].astype(np.int64)
     for k in range(1, depth + 1):
         before = np.full(len(stream) - 1, PAD, np.uint8)
         before[k - 1 :] = stream[: len(stream) - k]
-        key |= np.where(since[1:] >= k - 1, before, PAD).astype(np.uint64) << np.uint64(8 * (depth + 1 - k))
+        key |= np.where(since[1:] >= k - 1, before, PAD).astype(np.int64) << (8 * (depth + 1 - k))
     return key
 
 
-def context_counts(chunks: DataFrame, depth: int = DEPTH, most: int = 1 << 22) -> DataFrame:
-    """key (as in context_keys) and n over the training documents; a task holds about most keys at once."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            key, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(key, kind="stable")
-            key, n = key[order], n[order]
-            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            return key[head], np.add.reduceat(n, head)
-
-        for _, docs in opened(batches):
-            train = [t for i, t in zip(docs.column("doc_id").to_pylist(), texts_of(docs), strict=True) if not held_out(i)]
-            if train:
-                held.append(np.unique(context_keys(stream_of(train), depth), return_counts=True))
-                if len(held) == 8:
-                    held[:] = [merged()]
-                    if len(held[0][0]) > most:
-                        yield record_batch("key long, n long", {"key": held[0][0].view(np.int64), "n": held.pop()[1]})
-        if held:
-            key, n = merged()
-            yield record_batch("key long, n long", {"key": key.view(np.int64), "n": n})
-
-    return chunks.select("payload").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in order, and the sums of what belongs to each."""
+    key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[head], np.add.reduceat(n, head) if len(key) else n
 
 
-class SuffixTree:
-    """States, 0 the root, with moves and log10 probabilities for each code; code_of has the code of each byte."""
+def gathered(chunks: DataFrame, depth: int) -> DataFrame:
+    """Each group's distinct places and words with their counts over the training documents; columns as in GATHERED."""
 
-    def __init__(self, moves: np.ndarray, logs: np.ndarray, code_of: np.ndarray) -> None:
-        self.moves, self.logs, self.code_of = moves, logs, code_of
+    def sent(grp: int, held: list, words: Counter) -> Iterator[pa.RecordBatch]:
+        key, n = summed(held)
+        yield record_batch(GATHERED, {"grp": np.full(len(key), grp), "key": key, "word": pa.nulls(len(key), pa.binary()), "n": n})
+        yield record_batch(GATHERED, {"grp": np.full(len(words), grp), "key": np.zeros(len(words), np.int64), "word": list(words), "n": list(words.values())})
 
-    def score(self, stream: np.ndarray, n: int, segment: int = 1024) -> np.ndarray:
-        """log10 probability of each of the n texts in the stream."""
-        ends = np.flatnonzero(stream == END)
-        firsts, lasts = ends[:-1] + 1, ends[1:] + 1  # a text's own bytes, its END included
-        parts = -(-(lasts - firsts) // segment)
-        text = np.repeat(np.arange(n), parts)
-        a = np.repeat(firsts, parts) + segment * (np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts))
-        b = np.minimum(a + segment, lasts[text])
-        warm = np.maximum(a - DEPTH, firsts[text] - 1)
-        state, codes = np.zeros(len(text), np.int64), self.code_of[stream]
-        for k in range(DEPTH):
-            go = warm + k < a
-            state[go] = self.moves[state[go], codes[warm[go] + k]]
-        order = np.argsort(a - b, kind="stable")
-        state, at, left = state[order], a[order], (b - a)[order]
-        total = np.zeros(len(text))
-        live = np.searchsorted(-left, -np.arange(segment), side="left")
-        for k in range(int(left.max(initial=0))):
-            m = live[k]
-            now, code = state[:m], codes[at[:m] + k]
-            total[:m] += self.logs[now, code]
-            state[:m] = self.moves[now, code]
-        return np.bincount(text[order], total, n)
-
-
-def grow(counts: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE) -> SuffixTree:
-    """The tree from context counts; what reaches the driver is bounded by depth / min_share contexts."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    shift = lambda k: 8 * (depth - k) + 8
-    levels = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftright("key", shift(k)).alias("context"), F.col("key").bitwiseAND(255).cast("int").alias("next")) for k in range(depth + 1)])
-    each = counts.select(F.explode(levels).alias("e"), "n").groupBy("e.k", "e.context", "e.next").agg(F.sum("n").alias("n"))
-    each = stored(each, "contexts")
-    often = each.groupBy("k", "context").agg(F.sum("n").alias("all")).where(F.col("all") >= max(1.0, min_share * total))
-    rows = each.join(often, ["k", "context"], "left_semi").toArrow()
-    k, context, nxt, n = (rows[c].to_numpy() for c in ("k", "context", "next", "n"))
-    order = np.lexsort((nxt, context, k))
-    k, context, nxt, n = k[order], context[order], nxt[order], n[order]
-    head = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (context[1:] != context[:-1])])) if len(k) else np.zeros(0, np.int64)
-    found: dict[bytes, tuple[np.ndarray, np.ndarray]] = {b"": (np.zeros(0, np.int32), np.zeros(0, np.int64))}
-    for a, b in zip(head.tolist(), [*head[1:].tolist(), len(k)], strict=False):
-        raw = int(context[a]).to_bytes(8, "big")[8 - int(k[a]) :] if k[a] else b""
-        if PAD not in raw:  # else a shorter context stands for it
-            found[raw[::-1]] = nxt[a:b], n[a:b]
-    root = np.ones(256)
-    root[found[b""][0]] += found[b""][1]
-    smooth, kept = {b"": (root / root.sum()).astype(np.float32)}, {b""}
-    for word in sorted(found, key=lambda w: (len(w), w))[1:]:
-        parent = word[1:]
-        while parent not in smooth:
-            parent = parent[1:]
-        seen, c = found[word]
-        p, size = smooth[parent], c.sum()
-        smooth[word] = p * np.float32(len(seen) / (size + len(seen)))
-        smooth[word][seen] += (c / (size + len(seen))).astype(np.float32)
-        if (c * np.log(c / size / p[seen])).sum() > 0.5 * len(seen) * np.log(size):
-            kept.add(word)
-    states = sorted({w[:i] for w in {w[i:] for w in kept for i in range(len(w) + 1)} for i in range(len(w) + 1)}, key=lambda w: (len(w), w))
-    number = {w: i for i, w in enumerate(states)}
-    known = found[b""][0]
-    rare = np.setdiff1d(np.arange(256), known)  # bytes never seen are alike in every state, and share a code
-    code_of = np.full(256, len(known), np.uint8)
-    code_of[known] = np.arange(len(known))
-    pick = np.concatenate([known, rare[:1]])
-    children: dict[bytes, list[bytes]] = {}
-    for w in states[1:]:
-        children.setdefault(w[:-1], []).append(w)
-    moves, logs = np.zeros((len(states), len(pick)), np.int32), np.zeros((len(states), len(pick)), np.float32)
-    for w, i in number.items():
-        if w:
-            moves[i] = moves[number[w[1:]]]
-        for longer in children.get(w, ()):
-            moves[i, code_of[longer[-1]]] = number[longer]
-        best = w
-        while best not in kept:
-            best = best[1:]
-        logs[i] = np.log10(smooth[best][pick])
-    return SuffixTree(moves, logs, code_of)
-
-
-def word_counts(chunks: DataFrame) -> DataFrame:
-    """chunk, at (the word's number in its chunk), c (its count over the training documents), first (one row of each word)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grp, held, words = None, [], Counter()
         for row, docs in opened(batches):
-            offsets, ids, words = words_of(texts_of(docs), lower=True)
-            train = np.repeat([not held_out(i) for i in docs.column("doc_id").to_pylist()], np.diff(offsets)) if len(ids) else np.zeros(0, bool)
-            n = np.bincount(ids[train], minlength=len(words))
-            place = row["chunk"].as_py() << PLACE_BITS
-            yield record_batch("word binary, place long, n long", {"word": words, "place": place | np.arange(len(words)), "n": n})
+            if grp is not None and row["grp"].as_py() != grp:
+                yield from sent(grp, held, words)
+                held, words = [], Counter()
+            grp, texts = row["grp"].as_py(), texts_of(docs)
+            known = np.array([not held_out(i) for i in docs.column("doc_id").to_pylist()])
+            for train in (True, False):
+                key, n = np.unique(places_of(stream_of([t for t, k in zip(texts, known, strict=True) if k == train]), depth), return_counts=True)
+                held.append((key, n if train else np.zeros_like(n)))
+            if len(held) >= 16:
+                held = [summed(held)]
+            offsets, ids, own = words_of(texts, lower=True)
+            words.update(dict(zip(own, np.bincount(ids[np.repeat(known, np.diff(offsets))], minlength=len(own)).tolist(), strict=True)))
+        if grp is not None:
+            yield from sent(grp, held, words)
+
+    return stored(chunks.select("grp", "payload").mapInArrow(gather, GATHERED), "gathered")
+
+
+def smoothed(total, seen, c, base, gain, least: int):
+    """Whether a context is considered, whether it is retained, and the smoothed probability of a next byte in it."""
+    considered = total >= max(1, least)
+    return considered, considered & (gain > 0.5 * seen * np.log(np.maximum(total, 1))), (c + seen * base) / np.maximum(total + seen, 1)
+
+
+def divergence(c: np.ndarray, total: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """c times the log of the observed share over base: what a next byte adds to n * KL."""
+    return np.where(c > 0, c * np.log(np.maximum(c, 1) / np.maximum(total, 1) / base), 0)
+
+
+class Root:
+    """The states of depth below NEAR: for each context of NEAR - 1 bytes, its smoothed distribution and that of its longest retained suffix."""
+
+    def __init__(self, context: np.ndarray, byte: np.ndarray, n: np.ndarray, least: int = LEAST) -> None:
+        known, row = np.unique(context, return_inverse=True)
+        self.index = np.full(1 << 16, -1, np.int32)
+        self.index[known] = np.arange(len(known))
+        first = np.zeros((256, 256))
+        np.add.at(first, (context >> 8, byte), n)
+        whole = first.sum(axis=0) + 1
+        p0 = whole / whole.sum()
+        p1, f1 = self._level(first, p0[None], p0[None], np.zeros(256, bool), least)
+        self.p, self.best = np.zeros((len(known), 256), np.float32), np.zeros((len(known), 256), np.float32)
+        order = np.argsort(row, kind="stable")
+        row, byte, n = row[order], byte[order], n[order]
+        for a in range(0, len(known), 4096):  # in parts, so that the counts are never dense as a whole
+            b = min(a + 4096, len(known))
+            i, j = np.searchsorted(row, (a, b))
+            c = np.zeros((b - a, 256))
+            np.add.at(c, (row[i:j] - a, byte[i:j]), n[i:j])
+            near = known[a:b] >> 8
+            self.p[a:b], self.best[a:b] = self._level(c, p1[near], f1[near], known[a:b] & 255 == PAD, least)
+
+    @staticmethod
+    def _level(c: np.ndarray, base: np.ndarray, best: np.ndarray, beyond: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        total, seen = c.sum(axis=1, keepdims=True), (c > 0).sum(axis=1, keepdims=True)
+        considered, kept, p = smoothed(total, seen, c, base, divergence(c, total, base).sum(axis=1, keepdims=True), least)
+        beyond = beyond[:, None]
+        return np.where(considered & ~beyond, p, base), np.where(kept & ~beyond, p, best)
+
+
+def probabilities(key: np.ndarray, n: np.ndarray, root: Root, depth: int = DEPTH, least: int = LEAST) -> tuple[np.ndarray, int]:
+    """For places (distinct, in order, whole parts of the tree) with their counts: each one's probability, and how many contexts of NEAR bytes or more were retained."""
+    levels, up = [(key, n)], []
+    for _ in range(depth - NEAR):
+        k, c = levels[-1]
+        shorter, inverse = np.unique(k >> 16 << 8 | k & 255, return_inverse=True)
+        up.append(inverse)
+        levels.append((shorter, np.bincount(inverse, c, len(shorter))))
+    row, byte, states = root.index[levels[-1][0] >> 16], levels[-1][0] & 255, 0
+    p, best = root.p[row, byte].astype(np.float64), root.best[row, byte].astype(np.float64)
+    for k in range(len(levels) - 1, -1, -1):
+        own, c = levels[k]
+        if k < len(levels) - 1:
+            p, best = p[up[k]], best[up[k]]
+        context = own >> 8
+        head = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        size = np.diff(np.concatenate([head, [len(own)]]))
+        spread = lambda x, size=size: np.repeat(x, size)
+        total, seen = np.add.reduceat(c, head), np.add.reduceat((c > 0).astype(np.float64), head)
+        gain = np.add.reduceat(divergence(c, spread(total), p), head)
+        considered, kept, here = smoothed(spread(total), spread(seen), c, p, spread(gain), least)
+        inside = context & 255 != PAD
+        best = np.where(kept & inside, here, best)
+        p = np.where(considered & inside, here, p)
+        states += int((kept & inside)[head].sum())
+    return best, states
+
+
+def place_scores(counts: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
+    """key and lp, the log10 probability, of each place in counts (key, n)."""
+    near = counts.groupBy(F.shiftright("key", 8 * (depth - NEAR + 1) + 8).alias("context"), F.col("key").bitwiseAND(255).alias("byte")).agg(F.sum("n").alias("n")).toArrow()  # 256 ** 3 rows at most
+    root = counts.sparkSession.sparkContext.broadcast(Root(*(near[c].to_numpy() for c in ("context", "byte", "n")), least))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, key, n in whole_groups(batches, ("part", "key", "n"), ("part",)):
+            order = np.argsort(key, kind="stable")
+            p, _ = probabilities(key[order], n[order].astype(np.float64), root.value, depth, least)
+            yield record_batch("key long, lp float", {"key": key[order], "lp": np.log10(p).astype(np.float32)})
 
-    same = Window.partitionBy("word")
-    each = chunks.select("chunk", "payload").mapInArrow(count, "word binary, place long, n long").withColumns({"c": F.sum("n").over(same), "least": F.min("place").over(same)})
-    return each.select(F.shiftright("place", PLACE_BITS).alias("chunk"), F.col("place").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("at"), "c", (F.col("place") == F.col("least")).alias("first"))
+    parts = counts.select(F.shiftright("key", 8 * (depth - NEAR) + 8).alias("part"), "key", "n").repartition("part").sortWithinPartitions("part")
+    return parts.mapInArrow(walk, "key long, lp float")
 
 
-def score_documents(docs: DataFrame, *, min_share: float = MIN_SHARE) -> DataFrame:
+def score_documents(docs: DataFrame, *, depth: int = DEPTH, least: int = LEAST, group: int = GROUP) -> DataFrame:
     """Counts, base score and the tree's score of each row; columns as in RESULT.
 
     Null text: no words, only the end. Null doc_id counts as the empty string for the folds. Without
     training documents: N and V are 0 and all states are uniform. Empty table: no rows. Repeated rows
-    count and are scored each. Extra columns are ignored.
+    count and are scored each. Very long texts are whole chunks of their own. Extra columns are ignored.
     """
-    chunks = chunked(docs)
-    resolved = stored(word_counts(chunks), "word-counts")
-    n_words, n_types = resolved.where(F.col("first") & (F.col("c") > 0)).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-
-    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield record_batch("n long", {"n": [sum(sum(not held_out(i) for i in docs.column("doc_id").to_pylist()) for _, docs in opened(batches))]})
-
-    n_ends = chunks.select("payload").mapInArrow(ends, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    chunks = chunked(docs, group=group)
+    sent = gathered(chunks, depth)
+    counts = stored(sent.where("word is null").groupBy("key").agg(F.sum("n").alias("n")), "places")
+    words = stored(sent.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    n_words, n_types = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    n_ends = counts.where(F.col("key").bitwiseAND(255) == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     tokens, types = n_words + n_ends, n_types + (n_ends > 0)
-    tree = docs.sparkSession.sparkContext.broadcast(grow(stored(context_counts(chunks), "context-counts"), min_share=min_share))
-    answers = resolved.groupBy("chunk").agg(F.collect_list(F.struct("at", "c")).alias("a")).select("chunk", F.col("a.at").alias("at"), F.col("a.c").alias("c"))  # no more than a chunk has words
+    of_places = sent.where("word is null").select("grp", "key").join(stored(place_scores(counts, depth, least), "place-scores"), "key")
+    of_words = sent.where("word is not null").select("grp", "word").join(words, "word")
+    slot = lambda kind: (F.col("grp") * 4 + kind).alias("slot")
+    met = of_places.select(slot(CONTEXTS), F.col("key").alias("a"), F.lit(None).cast("binary").alias("b"), F.col("lp").alias("v"))
+    met = met.unionByName(of_words.select(slot(WORDS), F.col("n").alias("a"), F.col("word").alias("b"), F.lit(0).cast("float").alias("v")))
+    met = met.unionByName(chunks.select(slot(CHUNKS), F.col("chunk").alias("a"), F.col("payload").alias("b"), F.lit(0).cast("float").alias("v")))
+    met = met.repartition(F.shiftright("slot", 2)).sortWithinPartitions("slot")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, docs in opened(batches):
-            texts, doc_ids = texts_of(docs), docs.column("doc_id").to_pylist()
-            offsets, ids, words = words_of(texts, lower=True)
-            c = np.zeros(len(words), np.int64)
-            if row["at"].is_valid:
-                c[row["at"].values.to_numpy()] = row["c"].values.to_numpy()
-            logs, of = np.log10((c + 1) / (tokens + types + 1)), np.repeat(np.arange(len(texts)), np.diff(offsets))
-            base = np.bincount(of, logs[ids], len(texts)) + np.log10((n_ends + 1) / (tokens + types + 1))
-            known = np.bincount(of, c[ids] > 0, len(texts)).astype(np.int64) + (n_ends > 0)
-            yield record_batch(RESULT, {"doc_id": docs.column("doc_id"), "held_out": [held_out(i) for i in doc_ids], "n_tokens": np.diff(offsets) + 1, "n_known": known, "train_tokens": np.full(len(texts), tokens), "base_score": base, "score": tree.value.score(stream_of(texts), len(texts))})
-
-    return chunks.select("chunk", "payload").join(answers, "chunk", "left").mapInArrow(judge, RESULT)
+        grp, keys, scores, count = None, [], [], {}
+        for slot, part in _runs(batches):
+            if slot >> 2 != grp:
+                grp, keys, scores, count = slot >> 2, [], [], {}
+            if slot & 3 == CONTEXTS:
+                keys.append(part.column("a").to_numpy())
+                scores.append(part.column("v").to_numpy())
+            elif slot & 3 == WORDS:
+                count.update(zip(part.column("b").to_pylist(), part.column("a").to_pylist(), strict=True))
+            else:
+                if len(keys) > 1:  # all are here, as slots come in order
+                    order = np.argsort(np.concatenate(keys), kind="stable")
+                    keys, scores = [np.concatenate(keys)[order]], [np.concatenate(scores)[order]]
+                for payload in part.column("b"):
+                    with pa.ipc.open_stream(payload.as_buffer()) as documents:
+                        for rows in documents:
+                            yield scored(rows, keys[0], scores[0], count)
+
+    def scored(rows: pa.RecordBatch, keys: np.ndarray, scores: np.ndarray, count: dict[bytes, int]) -> pa.RecordBatch:
+        texts = texts_of(rows)
+        offsets, ids, own = words_of(texts, lower=True)
+        c = np.fromiter(map(count.__getitem__, own), np.int64, len(own))
+        logs, of = np.log10((c + 1) / (tokens + types + 1)), np.repeat(np.arange(len(texts)), np.diff(offsets))
+        base = np.bincount(of, logs[ids], len(texts)) + np.log10((n_ends + 1) / (tokens + types + 1))
+        known = np.bincount(of, c[ids] > 0, len(texts)).astype(np.int64) + (n_ends > 0)
+        stream = stream_of(texts)
+        places, inverse = np.unique(places_of(stream, depth), return_inverse=True)
+        each = scores[np.searchsorted(keys, places)].astype(np.float64)[inverse]
+        ends = np.flatnonzero(stream == END)
+        score = np.add.reduceat(each, ends[:-1]) if len(texts) else np.zeros(0)
+        return record_batch(RESULT, {"doc_id": rows.column("doc_id"), "held_out": [held_out(i) for i in rows.column("doc_id").to_pylist()], "n_tokens": np.diff(offsets) + 1, "n_known": known, "train_tokens": np.full(len(texts), tokens), "base_score": base, "score": score})
+
+    return met.mapInArrow(judge, RESULT)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Each run of rows of one slot."""
+    for batch in batches:
+        slot = batch.column("slot").to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(slot[1:] != slot[:-1]) + 1, [len(slot)]]) if len(slot) else [0]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield int(slot[a]), batch.slice(int(a), int(b - a))
