@@ -24,6 +24,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,9 @@ from pyspark.sql import functions as F
 from .chunks import chunked, opened
 from .common import _ASCII_LOWER, record_batch, stored, texts_of, whole_groups, words_of
 
-END, PAD, DEPTH, NEAR, LEAST, GROUP = 10, 13, 6, 3, 5, 32 << 20
+END, PAD, DEPTH, NEAR, LEAST, GROUP = 10, 13, 5, 3, 5, 32 << 20
 ROOT_BYTES = 2 * 256**3 * 4
+PART = 1 << 16  # rows of a batch that is sent
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 GATHERED = "grp long, key long, word binary, n long"
 #: What meets in a group's task: slot is 4 * group + kind; kinds are contexts (a: place), words (a: count, b: word) and chunks (b: payload).
@@ -82,8 +84,13 @@ def gathered(chunks: DataFrame, depth: int) -> DataFrame:
 
     def sent(grp: int, held: list, words: Counter) -> Iterator[pa.RecordBatch]:
         key, n = summed(held)
-        yield record_batch(GATHERED, {"grp": np.full(len(key), grp), "key": key, "word": pa.nulls(len(key), pa.binary()), "n": n})
-        yield record_batch(GATHERED, {"grp": np.full(len(words), grp), "key": np.zeros(len(words), np.int64), "word": list(words), "n": list(words.values())})
+        for a in range(0, len(key), PART):
+            k = key[a : a + PART]
+            yield record_batch(GATHERED, {"grp": np.full(len(k), grp), "key": k, "word": pa.nulls(len(k), pa.binary()), "n": n[a : a + PART]})
+        each = iter(words.items())
+        while some := list(islice(each, PART)):
+            w, c = zip(*some, strict=True)
+            yield record_batch(GATHERED, {"grp": np.full(len(w), grp), "key": np.zeros(len(w), np.int64), "word": w, "n": c})
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grp, held, words = None, [], Counter()
@@ -185,7 +192,9 @@ def place_scores(counts: DataFrame, depth: int = DEPTH, least: int = LEAST) -> D
         for part, key, n in whole_groups(batches, ("part", "key", "n"), ("part",)):
             order = np.argsort(key, kind="stable")
             p, _ = probabilities(key[order], n[order].astype(np.float64), root.value, depth, least)
-            yield record_batch("key long, lp float", {"key": key[order], "lp": np.log10(p).astype(np.float32)})
+            key, lp = key[order], np.log10(p).astype(np.float32)
+            for a in range(0, len(key), PART):
+                yield record_batch("key long, lp float", {"key": key[a : a + PART], "lp": lp[a : a + PART]})
 
     parts = counts.select(F.shiftright("key", 8 * (depth - NEAR) + 8).alias("part"), "key", "n").repartition("part").sortWithinPartitions("part")
     return parts.mapInArrow(walk, "key long, lp float")
