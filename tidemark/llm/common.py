@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -125,19 +126,12 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 def words_of(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Offsets of each text's words, the words' numbers, and the word of each number (UTF-8)."""
-    known: dict[bytes, int] = {}
-    ids, counts = [], np.zeros(len(texts), np.int64)
-    for k, text in enumerate(texts):
-        raw = text.encode("utf-8", "surrogatepass")
-        words = (raw.translate(_ASCII_LOWER) if lower else raw).split()
-        counts[k] = len(words)
-        if words:
-            for w in words:
-                if w not in known:
-                    known[w] = len(known)
-            ids.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
-    offsets = np.concatenate([[0], np.cumsum(counts)])
-    return offsets, (np.concatenate(ids) if ids else np.zeros(0, np.int32)), list(known)
+    raw = (t.encode("utf-8", "surrogatepass") for t in texts)
+    each = [r.translate(_ASCII_LOWER).split() for r in raw] if lower else [r.split() for r in raw]
+    offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))])
+    flat = list(chain.from_iterable(each))
+    known = dict(zip(dict.fromkeys(flat), count()))
+    return offsets, np.fromiter(map(known.__getitem__, flat), np.int32, len(flat)), list(known)
 
 
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<float>": pa.list_(pa.float32()), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,14 +61,16 @@ def places_of(stream: np.ndarray, depth: int = DEPTH) -> np.ndarray:
 
     A context ends at the END before the text; PAD stands beyond it.
     """
-    at = np.arange(len(stream))
-    since = at - 1 - np.maximum.accumulate(np.where(stream == END, at, 0))[np.maximum(at - 1, 0)]
-    key = stream[1:].astype(np.int64)
-    for k in range(1, depth + 1):
-        before = np.full(len(stream) - 1, PAD, np.uint8)
-        before[k - 1 :] = stream[: len(stream) - k]
-        key |= np.where(since[1:] >= k - 1, before, PAD).astype(np.int64) << (8 * (depth + 1 - k))
-    return key
+    padded = np.concatenate([np.full(7, PAD, np.uint8), stream])
+    back = np.lib.stride_tricks.as_strided(padded, (len(stream), 8), (1, 1)).view("<u8")[1:, 0]  # each byte highest, then those before it
+    key = ((back << np.uint64(8)) >> np.uint64(64 - 8 * depth)) << np.uint64(8) | back >> np.uint64(56)
+    ends = np.flatnonzero(stream == END)
+    for k in range(1, depth):  # a text's k-th byte has k bytes before it, its END included
+        at = ends[:-1] + k
+        at = at[at <= ends[1:]]
+        beyond = sum(PAD << 8 * (depth - i) for i in range(k, depth))
+        key[at - 1] = key[at - 1] & np.uint64(~(((1 << 8 * (depth - k)) - 1) << 8) & (2**64 - 1)) | np.uint64(beyond)
+    return key.view(np.int64)
 
 
 def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -233,15 +236,15 @@ def score_documents(docs: DataFrame, *, depth: int = DEPTH, least: int = LEAST,
             elif slot & 3 == WORDS:
                 count.update(zip(part.column("b").to_pylist(), part.column("a").to_pylist(), strict=True))
             else:
-                if len(keys) > 1:  # all are here, as slots come in order
-                    order = np.argsort(np.concatenate(keys), kind="stable")
-                    keys, scores = [np.concatenate(keys)[order]], [np.concatenate(scores)[order]]
+                if isinstance(keys, list):  # all are here, as slots come in order
+                    first = np.unique(np.concatenate(keys), return_index=True)
+                    keys, scores = pd.Index(first[0]), np.concatenate(scores)[first[1]]
                 for payload in part.column("b"):
                     with pa.ipc.open_stream(payload.as_buffer()) as documents:
                         for rows in documents:
-                            yield scored(rows, keys[0], scores[0], count)
+                            yield scored(rows, keys, scores, count)
 
-    def scored(rows: pa.RecordBatch, keys: np.ndarray, scores: np.ndarray, count: dict[bytes, int]) -> pa.RecordBatch:
+    def scored(rows: pa.RecordBatch, keys: pd.Index, scores: np.ndarray, count: dict[bytes, int]) -> pa.RecordBatch:
         texts = texts_of(rows)
         offsets, ids, own = words_of(texts, lower=True)
         c = np.fromiter(map(count.__getitem__, own), np.int64, len(own))
@@ -249,8 +252,7 @@ def score_documents(docs: DataFrame, *, depth: int = DEPTH, least: int = LEAST,
         base = np.bincount(of, logs[ids], len(texts)) + np.log10((n_ends + 1) / (tokens + types + 1))
         known = np.bincount(of, c[ids] > 0, len(texts)).astype(np.int64) + (n_ends > 0)
         stream = stream_of(texts)
-        places, inverse = np.unique(places_of(stream, depth), return_inverse=True)
-        each = scores[np.searchsorted(keys, places)].astype(np.float64)[inverse]
+        each = scores[keys.get_indexer(places_of(stream, depth))].astype(np.float64)
         ends = np.flatnonzero(stream == END)
         score = np.add.reduceat(each, ends[:-1]) if len(texts) else np.zeros(0)
         return record_batch(RESULT, {"doc_id": rows.column("doc_id"), "held_out": [held_out(i) for i in rows.column("doc_id").to_pylist()], "n_tokens": np.diff(offsets) + 1, "n_known": known, "train_tokens": np.full(len(texts), tokens), "base_score": base, "score": score})
