@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import warnings
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain, count
 
 import numpy as np
@@ -31,13 +33,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the one that the cluster names in spark.checkpoint.dir. Only where that is unset, as in
-    tests on one machine, a folder of this process is used.
+    It is the one that the cluster names in spark.checkpoint.dir. Where that is unset, a folder of this
+    process is used if all tasks run on this machine, as in tests; on a cluster that is an error.
     """
     if at := spark.conf.get("spark.checkpoint.dir", None):
         return at.rstrip("/")
     if at := spark.sparkContext.getCheckpointDir():
         return at.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="tidemark-")
@@ -46,27 +50,54 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder; what it holds is deleted by release(), or when the driver's process ends."""
+    """A new path in the shared folder; see release() for when what it holds is deleted."""
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}/{tag}"
     if not _paths:
-        atexit.register(release, spark)
+        _on_stop(spark)
     _paths.append(path.rpartition("/")[0])
     return path
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all intermediate tables so far; results that were not yet written or collected go with them."""
-    while _paths:
+def release(spark: SparkSession, keep: int = 0) -> None:
+    """Delete intermediate tables but for the keep first; results that were not yet written or collected go with them.
+
+    All are released when the session is stopped and when the driver's process ends. What can't be
+    deleted is named in a warning.
+    """
+    while len(_paths) > keep:
         _delete(spark, _paths.pop())
 
 
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Tables stored within are deleted on leaving: write or collect results before."""
+    keep = len(_paths)
+    try:
+        yield
+    finally:
+        release(spark, keep)
+
+
+def _on_stop(spark: SparkSession) -> None:
+    """Have release() run while the session can still delete."""
+    atexit.register(release, spark)
+    stop = spark.stop
+
+    def released() -> None:
+        release(spark)
+        atexit.unregister(release)
+        stop()
+
+    spark.stop = released
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # noqa: BLE001  the session has ended; the folder stays
-        pass
+    except Exception as e:  # noqa: BLE001  no kind of failure may keep the others from being deleted
+        warnings.warn(f"{path} was not deleted: {e!r}", stacklevel=2)
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -83,6 +114,32 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name like name that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: The largest number of keys that a join may spread by broadcast.
+HOT_KEYS = 10_000
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, weight: str) -> DataFrame:
+    """many joined with one, which has a row for each key and in weight how many rows of many have it, or more.
+
+    Keys with over 1 / HOT_KEYS of all weight, of which there can't be more than HOT_KEYS, are joined where
+    the rows of many are; so no key sends more rows than that share to one task.
+    """
+    total = one.agg(F.sum(weight).alias("total"))
+    share = F.col(weight) * HOT_KEYS > total.scalar()
+    hot = one.where(share).drop(weight)
+    cold = one.where(~share).drop(weight)
+    rest = many.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return many.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of the batches with about max_bytes of text each, so a worker's memory is bounded."""
     for batch in batches:

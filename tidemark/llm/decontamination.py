@@ -7,8 +7,8 @@ its rarest shingle alone, where rarity is counted over all documents. Document p
 shingle; the length bound (enough words before and after) and the positional bound (the window must
 start where the shingle's place in it says) leave one candidate each, which is verified word by word.
 
-The benchmark's side is broadcast only while it is small: up to max_broadcast windows, by count. Beyond
-that, positions are joined as numbers by a shuffle, and the texts meet only the candidates.
+The benchmark's side is broadcast only while it is small: up to max_broadcast windows and MAX_BYTES of
+their words. Beyond that, positions are joined as numbers by a shuffle, and the texts meet only the candidates.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, own_columns, stored
+from .common import LOWER, UPPER, own_columns, stored, unused
 
 WINDOW, SHINGLE = 10, 5
-MAX_BROADCAST = 200_000
+MAX_BROADCAST, MAX_BYTES = 200_000, 32 << 20
 
 
 def word_list(text: Column) -> Column:
@@ -58,7 +58,8 @@ def windows_found(docs: DataFrame, items: DataFrame, window: int = WINDOW, size:
     wins = stored(of_items.groupBy("win").agg(F.count(F.lit(1)).alias("n")).select(F.monotonically_increasing_id().alias("win_id"), "win"), "windows")
     owners = of_items.join(wins, "win").select("win_id", "item_id").distinct()
     sizes = [r[0] for r in wins.select(F.least(F.lit(size), F.size("win")).alias("k")).distinct().collect()]  # at most size numbers
-    few = wins.count() <= max_broadcast
+    count, volume = wins.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.array_join("win", " "))), F.lit(0))).first()
+    few = count <= max_broadcast and volume <= MAX_BYTES
     light = lambda df: F.broadcast(df) if few else df
     if not sizes:
         return docs.select("doc_id", F.xxhash64("text").alias("th"), F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit(0).cast("long").alias("win_id")).where("false"), owners
@@ -87,8 +88,9 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, si
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and hits (word ranges) of each row.
 
     Null text or item: no words. Items without an id are left out. Empty table: no rows; no items:
-    nothing is hit. Repeated rows each get their row, and repeated items count once. Extra columns are
-    ignored.
+    nothing is hit. Repeated rows each get their row, and repeated items count once. Very long texts
+    are matched whole. Of equally rare shingles the one with the least hash is the prefix, which changes
+    no result. Extra columns are ignored.
     """
     docs = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found, owners = windows_found(docs, items, window, size, max_broadcast)
@@ -106,11 +108,12 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, si
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """The rows of docs, all columns, in which no window of an item occurs."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """The rows of docs, all columns, in which no window of an item occurs; nulls and ties as in contamination()."""
+    own = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found, _ = windows_found(own, items, **how)
-    hit = found.select(F.col("doc_id").alias("hit_doc"), F.col("th").alias("hit_text")).distinct()
-    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("hit_doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("hit_text")), "left_anti")
+    d, t = unused(docs, "hit_doc"), unused(docs, "hit_text")
+    hit = found.select(F.col("doc_id").alias(d), F.col("th").alias(t)).distinct()
+    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(F.col("text").cast("string")) == F.col(t)), "left_anti")
 
 
 #: DuckDB's version of contamination() with its defaults, without hits.

@@ -7,16 +7,18 @@ for a text's last. Chunks of two lines or more with a word are compared, as whol
 over all documents. The first document that has a chunk (least doc_id, null last) keeps it, once; it is
 removed everywhere else.
 
-Each document sends each distinct chunk once, and equal ones are merged before the shuffle. Decisions go
-back by the chunk's 64-bit hash. Where chunks of different bytes share a hash, they go by the bytes.
+Equal chunks are merged before the shuffle. Decisions go back by the chunk's 64-bit hash: only chunks that
+are compared are joined, and those that stand in a large share of all documents where the documents are
+read. Where chunks of different bytes share a hash, they go by the bytes. Texts are cut again after the
+join, so that it moves them once and nothing else of their size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_columns, stored
+from .common import own_columns, spread_join, stored
 
 DIVISOR, BASE, MODULUS = 4, 31, 1_000_003
 
@@ -31,11 +33,11 @@ def line_hash(line: Column) -> Column:
 
 
 def with_chunks(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with th (the text's hash), lines, and chunks: an array of (start, n, body).
+    """docs (with a column text) with lines and chunks: an array of (start, n, body).
 
     start counts from 0; body is null where a chunk isn't compared.
     """
-    step = docs.select("*", F.xxhash64("text").alias("th"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    step = docs.select("*", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
     step = step.withColumn("hashes", F.transform("lines", line_hash))
     back = lambda i, k: F.coalesce(F.get(F.col("hashes"), i - k), F.lit(0).cast("long"))
     step = step.withColumn("marks", F.transform("hashes", lambda x, i: ((back(i, 2) * BASE * BASE + back(i, 1) * BASE + x) % MODULUS) % DIVISOR == 0))
@@ -54,39 +56,40 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_chunks, n_removed_chunks, n_removed_lines and kept_text of each row.
 
     Lines are what line feeds separate. Null text: one empty line, kept. Empty table: no rows. Rows
-    with equal doc_id are one document for the choice of the first, and equal rows get equal results.
-    Extra columns are ignored.
+    with equal doc_id are one document for the choice of the first (so are rows without one), and equal
+    rows get equal results. Very long texts are cut like any other, in one row. Extra columns are ignored.
     """
     docs = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select("*", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), F.xxhash64("text").alias("th"))
     cut = with_chunks(docs)
-    doc = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc")
-    bodies = cut.select(doc, F.explode_outer("chunks.body").alias("body")).where("body is not null")
-    texts = bodies.groupBy("body").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-    by_hash = stored(texts.groupBy(F.xxhash64("body").alias("h")).agg(F.count(F.lit(1)).alias("kinds"), F.min("first").alias("first"), F.max("last").alias("last")), "chunk-hashes")
-    each = cut.select("doc_id", "th", doc, F.posexplode_outer("chunks").alias("j", "c")).select("doc_id", "th", "doc", "j", F.when(F.col("c.body").isNotNull(), F.xxhash64("c.body")).alias("h"), "c.n", "c.body")
-    alone = by_hash.where("kinds = 1 and first < last").select("h", "first")
-    parts = each.drop("body").join(by_hash.where("kinds > 1").select("h"), "h", "left_anti")
-    placed = _placed(parts, "h", alone)
-    if not (shared := by_hash.where("kinds > 1").select("h")).isEmpty():
-        same = each.join(shared, "h", "left_semi").select("doc_id", "th", "doc", "j", "n", "body")
-        placed = placed.unionByName(_placed(same, "body", same.groupBy("body").agg(F.min("doc").alias("first"))))
-    flags = placed.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("j", "gone"))).alias("flags"), F.max("gone").alias("any")).where("any").select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("flags.gone").alias("gone"))
-    joined = cut.join(flags, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
-    gone = lambda i: F.coalesce(F.get(F.col("gone"), i), F.lit(False))
-    joined = joined.withColumns({"kept": F.filter("chunks", lambda c, i: ~gone(i)), "n_lines": F.size("lines").cast("long"), "n_chunks": F.size("chunks").cast("long")})
+    bodies = cut.select("doc", F.explode_outer("chunks.body").alias("body")).where("body is not null")
+    texts = bodies.groupBy("body").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n"))
+    by_hash = stored(texts.groupBy(F.xxhash64("body").alias("h")).agg(F.count(F.lit(1)).alias("kinds"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")), "chunk-hashes")
+    each = cut.select("doc", "th", F.posexplode_outer("chunks").alias("j", "c")).select("doc", "th", "j", "c.body").where("body is not null").withColumn("h", F.xxhash64("body"))
+    places = stored(each.drop("body"), "chunk-places")
+    shared = by_hash.where("kinds > 1").select("h")
+    if shared.isEmpty():
+        gone = _gone(places, "h", by_hash.where("first < last").select("h", "first", "n"))
+    else:
+        gone = _gone(places.join(shared, "h", "left_anti"), "h", by_hash.where("kinds = 1 and first < last").select("h", "first", "n"))
+        same = stored(each.join(shared, "h", "left_semi").drop("h"), "shared-hashes")
+        gone = gone.unionByName(_gone(same, "body", same.groupBy("body").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n"))))
+    flags = gone.groupBy("doc", "th").agg(F.collect_set("j").alias("gone"))  # no more than a text has chunks
+    joined = with_chunks(docs.join(flags, ["doc", "th"], "left"))
+    joined = joined.withColumns({"n_lines": F.size("lines").cast("long"), "n_chunks": F.size("chunks").cast("long")})
+    stay = F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), F.coalesce("gone", F.array().cast("array<int>")))
+    joined = joined.withColumn("kept", F.transform(stay, lambda i: F.get(F.col("chunks"), i)))
     kept_lines = F.flatten(F.transform("kept", lambda c: F.slice("lines", c["start"] + 1, c["n"])))
     kept_text = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept_lines, "\n"))
     removed_lines = F.col("n_lines") - F.aggregate("kept", F.lit(0).cast("long"), lambda a, c: a + c["n"])
     return joined.select("doc_id", "n_lines", "n_chunks", (F.col("n_chunks") - F.size("kept")).alias("n_removed_chunks"), removed_lines.alias("n_removed_lines"), kept_text.alias("kept_text"))
 
 
-def _placed(parts: DataFrame, key: str, first: DataFrame) -> DataFrame:
-    """doc_id, th, j and gone of each chunk: whether an earlier document, or an earlier place in this one, has it."""
-    once = parts.repartition("doc_id", "th").dropDuplicates(["doc_id", "th", "j"])
-    again = F.col(key).isNotNull() & (F.row_number().over(Window.partitionBy("doc_id", "th", key).orderBy("j")) > 1)
-    ranked = once.withColumn("again", again)
-    joined = ranked.join(first, key, "left")
-    return joined.select("doc_id", "th", "j", (F.col("again") | F.coalesce(F.col("first") < F.col("doc"), F.lit(False))).alias("gone"))
+def _gone(places: DataFrame, key: str, first: DataFrame) -> DataFrame:
+    """doc, th and j of each chunk that an earlier document, or an earlier place in its own, has; first: the first document of each key, and n rows or more that have it."""
+    twice = places.groupBy("doc", "th", key).agg(F.min("j").alias("one"), F.max("j").alias("other")).where("one < other").drop("other")
+    again = places.join(twice, ["doc", "th", key]).where("j > one").select("doc", "th", "j")
+    return spread_join(places, first, key, "n").where("first < doc").select("doc", "th", "j").unionByName(again)
 
 
 def digest(result: DataFrame) -> DataFrame:

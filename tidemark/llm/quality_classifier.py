@@ -8,7 +8,8 @@ flattened into arrays of a fixed size and travel with the tasks; scores are sums
 vectorised traversal.
 
 Null text: scored as the empty text. Empty documents: no rows. No labels to learn from: every score is
-0.5. Repeated rows are scored alike. Extra columns are ignored.
+0.5. Repeated rows are scored alike; equal features score alike. Very long texts are counted whole.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -108,11 +109,9 @@ def document_features(docs: DataFrame) -> DataFrame:
 def train(features: DataFrame, labels: DataFrame, *, label: str = "quality", max_sample: int = 20_000, seed: int = 13) -> Boosted:
     """Trees from at most max_sample labelled documents that aren't held out."""
     marked = own_columns(labels, "doc_id", label).where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg(label) >= 0.5).cast("int").alias("y")).where(~held_out())
-    marked = stored(marked.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")), "labels")
-    if not (n := marked.count()):
-        return Boosted()
-    bound = -(2**63) + int(min(1.0, 1.1 * max_sample / n) * (2**64 - 1))
-    rows = features.join(marked.where(F.col("h") <= F.lit(min(bound, 2**63 - 1))), "doc_id").select("features", "y", "h", "doc_id").orderBy("h", "doc_id", F.xxhash64("features")).limit(max_sample).toArrow()
+    marked = stored(marked.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).orderBy("h", "doc_id").limit(max_sample), "labels")
+    # max_sample rows of three numbers: the features of all other documents stay where they are
+    rows = features.join(F.broadcast(marked), "doc_id").select("features", "y", "h", "doc_id").orderBy("h", "doc_id", F.xxhash64("features")).limit(max_sample).toArrow()
     if not rows.num_rows:
         return Boosted()
     x = np.array(rows["features"].to_pylist(), np.float32)
