@@ -52,8 +52,7 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder; see release() for when what it holds is deleted."""
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}/{tag}"
-    if not _paths:
-        _on_stop(spark)
+    _on_stop(spark)
     _paths.append(path.rpartition("/")[0])
     return path
 
@@ -80,6 +79,8 @@ def intermediates(spark: SparkSession) -> Iterator[None]:
 
 def _on_stop(spark: SparkSession) -> None:
     """Have release() run while the session can still delete."""
+    if getattr(spark.stop, "releases", False):
+        return
     atexit.register(release, spark)
     stop = spark.stop
 
@@ -88,6 +89,7 @@ def _on_stop(spark: SparkSession) -> None:
         atexit.unregister(release)
         stop()
 
+    released.releases = True
     spark.stop = released
 
 

@@ -2,10 +2,11 @@
 
 Equal fingerprints are one entry throughout, so copies are never paired. Distinct fingerprints meet by
 the pigeonhole principle: 64 bits are cut into BLOCKS blocks, and two fingerprints that differ in at
-most `bits` bits agree on at least BLOCKS - bits of them, so each is dealt under every such choice of
-blocks with their values as key. A key with more than max_group fingerprints is dealt again, with the
-same choices made among the bits that it leaves open, until groups are small or only a run of near
-fingerprints is left. Within a task the fingerprints of all keys are put in Gray order and indexed by a
+most `bits` bits agree on at least that number less bits of them, so each is dealt under every such choice
+of blocks with their values as key. More fingerprints are cut into more blocks, so that groups by chance
+stay as small as PER_KEY. A key with more than max_group fingerprints is dealt again, `refine` times at
+most, with the same choices made among the bits that it leaves open. What is larger even then, a run of
+near fingerprints, is cut into parts of max_group, and each pair of parts is a group. Within a task the fingerprints of all keys are put in Gray order and indexed by a
 hierarchy: an upper node keeps the bits that all below it share (mask) and their pattern. Pairs of
 nodes are searched from the top; a pair goes as soon as the patterns differ in more than `bits` bits of
 the shared mask, since below it differences only grow, and is closed with one link as soon as all below
@@ -26,9 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _ASCII_LOWER, own_columns, record_batch, slices, stored, texts_of
+from .common import _ASCII_LOWER, own_columns, record_batch, slices, spread_join, stored, texts_of, unused, whole_groups
 
-BLOCKS, FAN = 6, 8
+BLOCKS, FAN, PER_KEY = (6, 7, 8, 10), 8, 512
+
+
+def blocks_for(n: int, bits: int = 4) -> int:
+    """The least number of blocks for which n fingerprints leave PER_KEY or fewer for each key."""
+    return next((b for b in BLOCKS if n >> 64 * (b - bits) // b <= PER_KEY), BLOCKS[-1])
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -182,24 +188,36 @@ def _deal(entries: DataFrame, masks: list[int]) -> DataFrame:
 
 def links(entries: DataFrame, bits: int = 4, max_group: int = 20_000, refine: int = 2) -> DataFrame:
     """(lo, hi) links that span the components of the distinct fingerprints in entries (column fp)."""
-    rows = _deal(entries, _block_masks(2**64 - 1, BLOCKS, BLOCKS - bits))
-    for _ in range(refine):
-        large = stored(rows.groupBy("mask", "key").count().where(F.col("count") > max_group).select("mask", "key"), "large-keys")
+    blocks = blocks_for(entries.count(), bits)
+    rows = _deal(entries, _block_masks(2**64 - 1, blocks, blocks - bits))
+    for turn in range(refine + 1):
+        large = stored(rows.groupBy("mask", "key").count().where(F.col("count") > max_group), "large-keys")
         if large.isEmpty():
             break
+        rest, in_large = rows.join(large, ["mask", "key"], "left_anti"), rows.join(large, ["mask", "key"])
+        if turn == refine:
+            parts = F.ceil(F.col("count") / max_group).cast("int")
+            own, other = F.pmod(F.xxhash64("fp"), parts).cast("int"), F.col("other")
+            paired = in_large.select("mask", "key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+            again = paired.select("mask", "key", F.concat_ws(",", F.least("own", other), F.greatest("own", other)).alias("pair"), "fp")
+            rows = rest.withColumn("pair", F.lit("")).unionByName(again)
+            break
         masks = [r.mask & (2**64 - 1) for r in large.select("mask").distinct().collect()]  # at most as many as there are choices of blocks
-        finer = {m: [m | f for f in _block_masks(~m & (2**64 - 1), BLOCKS, BLOCKS - bits)] for m in masks}
+        finer = {m: [m | f for f in _block_masks(~m & (2**64 - 1), blocks, blocks - bits)] for m in masks}
         table = F.create_map(*[x for m, fs in finer.items() for x in (F.lit(_signed(m)).cast("long"), F.array(*[F.lit(_signed(f)).cast("long") for f in fs]))])
-        again = rows.join(large, ["mask", "key"], "left_semi").select("fp", F.explode(table[F.col("mask")]).alias("mask"))
-        rows = rows.join(large, ["mask", "key"], "left_anti").unionByName(again.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"))
-    dealt = rows.repartition("mask", "key").sortWithinPartitions("mask", "key")
+        again = in_large.select("fp", F.explode(table[F.col("mask")]).alias("mask"))
+        rows = rest.unionByName(again.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"))
+    # a group goes by the hash of its name: where two meet in one, too many fingerprints are compared, and no link is lost
+    name = F.xxhash64("mask", "key", *(["pair"] if "pair" in rows.columns else [])).alias("name")
+    dealt = rows.select(name, "fp").repartition("name").sortWithinPartitions("name")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for mask, key, fps in _whole_groups(batches):
-            order = np.lexsort((gray_rank(fps), key, mask))
-            mask, key, fps = mask[order], key[order], fps[order]
-            group = np.cumsum(np.concatenate([[0], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])])) if len(fps) else np.zeros(0, np.int64)
-            alone = np.bincount(group)[group] == 1 if len(fps) else np.zeros(0, bool)
+        for name, fp in whole_groups(batches, ("name", "fp"), ("name",), 1 << 17):
+            fps = fp.view(np.uint64)
+            order = np.lexsort((gray_rank(fps), name))
+            name, fps = name[order], fps[order]
+            group = np.cumsum(np.concatenate([[0], name[1:] != name[:-1]]))
+            alone = np.bincount(group)[group] == 1
             group, fps = np.unique(group[~alone], return_inverse=True)[1], fps[~alone]
             a, b = linked_within(group, fps, bits)
             a, b = fps[a].view(np.int64), fps[b].view(np.int64)
@@ -208,38 +226,19 @@ def links(entries: DataFrame, bits: int = 4, max_group: int = 20_000, refine: in
     return dealt.mapInArrow(search, "lo long, hi long").distinct()
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], least: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows in parts of some size that never cut a group; the rows come in the order of their groups."""
-    held: list[tuple[np.ndarray, ...]] = []
-    size = 0
-    for batch in batches:
-        held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("mask", "key", "fp")))
-        size += batch.num_rows
-        if size < least:
-            continue
-        mask, key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-        last = np.flatnonzero((mask != mask[-1]) | (key != key[-1]))
-        cut = last[-1] + 1 if len(last) else 0
-        if cut:
-            yield mask[:cut], key[:cut], fp[:cut].view(np.uint64)
-        held, size = [(mask[cut:], key[cut:], fp[cut:])], len(mask) - cut
-    if size:
-        mask, key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-        yield mask, key, fp.view(np.uint64)
-
-
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node reachable, for each node that has a link.
 
-    Large-star, then small-star, until the links stay as they are.
+    Large-star, then small-star, until the links stay as they are. Nodes with many links are joined where
+    the links are read.
     """
     edges = stored(edges.select(F.greatest("lo", "hi").alias("u"), F.least("lo", "hi").alias("v")).where("u <> v").distinct(), "links")
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = stored(spread_join(both, stored(low, "least"), "u", "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
+        small_low = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        small = spread_join(large, small_low, "u", "n").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         new = stored(small, "links")
         same = [new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first(), edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()]
         edges = new
@@ -251,12 +250,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def grouped(docs: DataFrame, size: int, bits: int) -> DataFrame:
     """fp, doc_id, th (the text's hash), root (the component's own number) and component_id of each row."""
     prints = stored(fingerprints(docs, size), "fingerprints")
-    entries = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "entries")
+    entries = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "entries")
     roots = components(links(entries.select("fp"), bits))
-    named = entries.join(roots, entries.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = named.join(smallest, "root").select("fp", "root", "component_id")
-    return prints.join(groups, "fp")
+    named = stored(entries.join(roots, entries.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "rows"), "roots")
+    smallest = stored(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "smallest")
+    groups = stored(spread_join(named, smallest, "root", "n").select("fp", "root", "component_id", "rows"), "groups")
+    return spread_join(prints, groups, "fp", "rows")
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 4, bits: int = 4) -> DataFrame:
@@ -265,7 +264,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 4, bits: int = 4) -> DataFra
     component_id is the smallest doc_id reachable by links between fingerprints that differ in at most
     bits bits, the row's own included; null only if no reachable row has a doc_id. Null and empty
     texts have fingerprint zero and link as any other. Empty table: no rows. Repeated rows each get
-    their row. Extra columns are ignored.
+    their row. A bit that exactly half the shingles set is 0. Very long texts count with all their
+    shingles. Extra columns are ignored.
     """
     return grouped(docs, size, bits).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -273,13 +273,16 @@ def near_duplicates(docs: DataFrame, *, size: int = 4, bits: int = 4) -> DataFra
 def keep_one(docs: DataFrame, *, size: int = 4, bits: int = 4) -> DataFrame:
     """One row of each component, all columns: the one with the least doc_id (null last), of equal ones the least hash of the text.
 
-    Of rows equal in doc_id and text, any one stays.
+    Of rows equal in doc_id and text, any one stays. Null and empty texts are one component, with all that
+    link to fingerprint zero. Empty table: no rows.
     """
     found = stored(grouped(docs, size, bits).select("root", "doc_id", "th"), "components")
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
     rows = found.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
     chosen = first.select(F.col("first.doc_id").alias("d"), F.col("first.th").alias("t"))
     again = stored(chosen.join(rows, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("th"))).select("d", "t", "n"), "chosen")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("t"))
+    d, t = unused(docs, "d"), unused(docs, "t")
+    again = again.select(F.col("d").alias(d), F.col("t").alias(t), "n")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(F.col("text").cast("string")) == F.col(t))
     repeated = docs.join(again.where("n > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"])
     return docs.join(again.where("n = 1"), same, "left_semi").unionByName(repeated)
