@@ -57,8 +57,9 @@ def checked_names(names: list[str]) -> list[str]:
     names = list(names)
     if not 1 <= len(names) <= MAX_COLUMNS:
         raise ValueError(f"1 to {MAX_COLUMNS} columns are allowed")
-    if len(set(names)) != len(names) or not all(names) or {"seq", "ts"} & set(names):
-        raise ValueError("column names must be distinct, not empty, and other than seq and ts")
+    lower = [n.lower() for n in names]
+    if len(set(lower)) != len(lower) or not all(names) or {"seq", "ts"} & set(lower):
+        raise ValueError("column names must be distinct whatever their case, not empty, and other than seq and ts")
     return names
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import errno
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import replace
+from itertools import takewhile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,8 @@ from .plans.config import MAX_COLUMNS, MAX_EXTRAS, CapacityError, SeriesConfig,
 from .sources.store import Manifest, Segment, Store
 
 MAX_TS = 2**32 - 1
+FAN_BITS = 6
+FAN = 1 << FAN_BITS
 
 
 class Query:
@@ -66,11 +70,15 @@ class Series:
         """Open the series in config.path, or create it.
 
         An existing series keeps its own capacity and stride; its number of base columns must be
-        config's. What crashed writers left is removed.
+        config's. What crashed writers left is removed. If no manifest can be read, one is made from the
+        segments and config.
         """
         store = Store(spark, config.path)
         if store.exists():
-            manifest = store.load()
+            try:
+                manifest = store.load()
+            except SeriesStateError:
+                manifest = store.commit(None, store.recovered(config.columns, config.max_records, config.index_stride))
             if len(manifest.base) != config.num_params:
                 raise ValueError(f"the series has {len(manifest.base)} base columns, not {config.num_params}")
             store.clean(manifest)
@@ -129,7 +137,7 @@ class Series:
     # Writing
 
     def append(self, ts: int, values: Sequence[int]) -> None:
-        """One record. Batches are far cheaper: each append is a commit."""
+        """One record: a small file and a commit, without a job."""
         self.append_batch([ts], [values])
 
     def append_batch(self, timestamps: Sequence[int], values: Sequence[Sequence[int]]) -> None:
@@ -138,13 +146,15 @@ class Series:
         if not timestamps or len(timestamps) != len(values):
             raise ValueError("as many timestamps as value rows are needed, and one at least")
         width = len(m.columns)
-        rows = []
         for k, (ts, row) in enumerate(zip(timestamps, values, strict=True)):
             if not 0 <= ts <= MAX_TS or len(row) != width or not all(-32768 <= v <= 32767 for v in row):
                 raise ValueError(f"record {k}: {width} 16-bit values and a 32-bit timestamp are needed")
-            rows.append((k, int(ts), *map(int, row)))
-        schema = T.StructType([T.StructField("at", T.LongType()), T.StructField("ts", T.LongType()), *[T.StructField(n, T.ShortType()) for n, _ in m.columns]])
-        self._append(self.spark.createDataFrame(rows, schema), "at", len(rows))
+        held = {"ts": pa.array(timestamps, pa.int64())} | {c: pa.array([int(row[k]) for row in values], pa.int16()) for k, (_, c) in enumerate(m.columns)}
+
+        def write(name: str, first: int) -> None:
+            self._store.write_rows(name, pa.table({"seq": pa.array(range(first, first + len(timestamps)), pa.int64())} | held))
+
+        self._append(write, len(timestamps), min(timestamps), max(timestamps))
 
     def append_frame(self, df: DataFrame, order_by: str | Sequence[str], *, query: str | None = None, batch: int | None = None) -> int:
         """The rows of df (ts and all columns by name), in the order of order_by; how many they are.
@@ -159,45 +169,62 @@ class Series:
         ts = F.col("ts").cast("long")
         valid = F.when(ts.between(0, MAX_TS), ts).otherwise(F.raise_error(F.lit("ts must be an unsigned 32-bit number of seconds")))
         ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-        staged = ordered.select(F.monotonically_increasing_id().alias("at"), valid.alias("ts"), *[F.coalesce(F.col(f"`{n}`").cast("short"), F.lit(0).cast("short")).alias(n) for n, _ in m.columns])
+        # columns go by their stored names from here on, which meet no helper's
+        staged = ordered.select(F.monotonically_increasing_id().alias("at"), valid.alias("ts"), *[F.coalesce(F.col(f"`{n}`").cast("short"), F.lit(0).cast("short")).alias(c) for n, c in m.columns])
         name = self._store.new_name()
         path = f"{self._store.path}/staging/{name}"
         staged.write.parquet(path)
         staged = self.spark.read.schema(staged.schema).parquet(path)
         # at holds the partition in its upper bits and the place in it below: as many counts as partitions
         part = F.shiftright("at", 33)
-        counts = sorted(staged.groupBy(part.alias("part")).count().collect())
-        n = sum(c for _, c in counts)
+        counts = sorted(staged.groupBy(part.alias("part")).agg(F.count(F.lit(1)), F.min("ts"), F.max("ts")).collect())
+        n = sum(c for _, c, _, _ in counts)
         if n:
             starts, at = {}, 0
-            for p, c in counts:
+            for p, c, _, _ in counts:
                 starts[p], at = at, at + c
             offsets = self.spark.createDataFrame(list(starts.items()), "part long, offset long")
-            numbered = staged.withColumn("part", part).join(offsets, "part").withColumn("at", F.col("offset") + F.col("at").bitwiseAND((1 << 33) - 1)).drop("part", "offset")
-            self._append(numbered, "at", n, {query: batch} if query is not None else None)
+            numbered = staged.withColumn("part", part).join(F.broadcast(offsets), "part").withColumn("at", F.col("offset") + F.col("at").bitwiseAND((1 << 33) - 1))
+
+            def write(name: str, first: int) -> None:
+                numbered.select((F.col("at") + first).alias("seq"), "ts", *[c for _, c in m.columns]).write.mode("overwrite").parquet(self._store.segment_path(name))
+
+            self._append(write, n, min(a for _, _, a, _ in counts), max(b for _, _, _, b in counts), {query: batch} if query is not None else None)
         elif query is not None:
             self._commit(replace(m, batches=m.batches | {query: batch}))
         self._store.drop("staging", name)
         return n
 
-    def _append(self, rows: DataFrame, at: str, n: int, batches: dict[str, int] | None = None) -> None:
+    def _append(self, write: Callable[[str, int], None], n: int, low: int, high: int, batches: dict[str, int] | None = None) -> None:
+        """Commit n rows that write(segment, first stored number) puts on disk; their timestamps are low to high."""
         m = self._guarded(self._current(), n)
         name = self._store.new_name()
-        stored = rows.select((F.col(at) + m.end_stored).alias("seq"), "ts", *[F.col(f"`{n_}`").alias(c) for n_, c in m.columns])
         try:
-            stored.write.parquet(self._store.segment_path(name))
+            write(name, m.end_stored)
         except Exception as e:
             if not _disk_full(e) or m.total == 0 or m.capped:
                 raise
             self._store.drop("segments", name)
             m = self._with_space(replace(m, max_records=m.total, capped=True))
             try:
-                stored.write.parquet(self._store.segment_path(name))
+                write(name, m.end_stored)
             except Exception as again:
                 raise CapacityError("no space is left even after capping the series") from again
-        low, high = self.spark.read.schema(T.StructType([T.StructField("ts", T.LongType())])).parquet(self._store.segment_path(name)).agg(F.min("ts"), F.max("ts")).first()
         grown = replace(m, total=m.total + n, writes=m.writes + n, evictions=m.evictions + (max(0, m.total + n - max(m.total, m.max_records)) if m.max_records else 0), segments=[*m.segments, Segment(name, m.end_stored, m.end_stored + n - 1, low, high)], batches=m.batches | (batches or {}))
         self._commit(replace(grown, segments=grown.live()))
+        self._merge_small()
+
+    def _merge_small(self) -> None:
+        """Merge the newest segments once there are FAN of one order of size, so their number grows with the logarithm of the rows."""
+        segments = self._current().segments
+        order = lambda s: (s.hi - s.lo + 1).bit_length() // FAN_BITS
+        for k in range(64 // FAN_BITS + 1):
+            run = list(takewhile(lambda s: order(s) <= k, reversed(segments)))
+            if len(run) >= FAN:
+                return self._merge(run[::-1])
+            if len(run) == len(segments):
+                return None
+        return None
 
     def _guarded(self, m: Manifest, n: int) -> Manifest:
         """m, capped where a block of the size model would begin while free space is below the reserve."""
@@ -338,23 +365,25 @@ class Series:
     def compact(self, target_rows: int = 50_000_000) -> None:
         """Rewrite the retained rows into few files in arrival order; nothing else changes."""
         m = self._current()
-        if len(m.segments) < 2:
-            return
-        raw = self.spark.read.schema(T.StructType([T.StructField("seq", T.LongType()), T.StructField("ts", T.LongType()), *[T.StructField(c, T.ShortType()) for _, c in m.columns]])).parquet(*[self._store.segment_path(s.name) for s in m.live()])
-        raw = raw.where((F.col("seq") >= m.first_stored) & (F.col("seq") < m.end_stored))
+        if len(m.segments) > 1:
+            self._merge(m.live(), target_rows)
+
+    def _merge(self, merged: list[Segment], target_rows: int = 50_000_000) -> None:
+        """Rewrite neighbouring segments as one; rows that are not retained go."""
+        m = self._current()
+        lo, hi = max(merged[0].lo, m.first_stored), min(merged[-1].hi, m.end_stored - 1)
+        raw = self.spark.read.schema(T.StructType([T.StructField("seq", T.LongType()), T.StructField("ts", T.LongType()), *[T.StructField(c, T.ShortType()) for _, c in m.columns]])).parquet(*[self._store.segment_path(s.name) for s in merged])
+        raw = raw.where((F.col("seq") >= lo) & (F.col("seq") <= hi))
         name = self._store.new_name()
-        raw.repartitionByRange(max(1, -(-m.retained // target_rows)), "seq").sortWithinPartitions("seq").write.parquet(self._store.segment_path(name))
-        live = m.live()
-        self._commit(replace(m, segments=[Segment(name, m.first_stored, m.end_stored - 1, min(s.ts_min for s in live), max(s.ts_max for s in live))]))
+        raw.repartitionByRange(max(1, -(-(hi - lo + 1) // target_rows)), "seq").sortWithinPartitions("seq").write.parquet(self._store.segment_path(name))
+        names = {s.name for s in merged}
+        one = Segment(name, lo, hi, min(s.ts_min for s in merged), max(s.ts_max for s in merged))
+        self._commit(replace(m, segments=sorted([*(s for s in m.live() if s.name not in names), one], key=lambda s: s.lo)))
 
     def rebuild(self) -> None:
         """Make the manifest's bounds and counts anew from the segments that it names."""
         m = self._current()
-        segments = []
-        for s in m.segments:
-            lo, hi, a, b = self.spark.read.parquet(self._store.segment_path(s.name)).agg(F.min("seq"), F.max("seq"), F.min("ts"), F.max("ts")).first()
-            if lo is not None:
-                segments.append(Segment(s.name, lo, hi, a, b))
+        segments = self._store.bounds([s.name for s in m.segments])
         end = max((s.hi + 1 for s in segments), default=m.origin)
         self._commit(replace(m, segments=segments, total=end - m.origin))
 
