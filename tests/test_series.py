@@ -272,3 +272,101 @@ def test_streaming_ingest(spark, tmp_path):
         start_ingest(stream, s, str(tmp_path / "check")).awaitTermination()
         s.refresh()
         assert s.count(0, ALL) == 10 * (k + 1)
+
+
+def manifests(path):
+    return sorted((path / "manifests").glob("*.json"))
+
+
+@pytest.mark.parametrize("damage", [lambda raw: raw[: len(raw) // 2], lambda raw: b"", lambda raw: b"\xff\x00garbage", lambda raw: b'{"base": 3}', lambda raw: raw.replace(b'"total": 2', b'"total": -2')])
+def test_a_damaged_manifest_is_passed_over(spark, tmp_path, damage):
+    path = tmp_path / "s"
+    s = opened(spark, path, 1, ["v"])
+    s.append_batch([1, 2], [[1], [2]])
+    s.append(3, [3])
+    newest = manifests(path)[-1]
+    raw = manifests(path)[-2].read_bytes() if damage(b'"total": 2') == b'"total": -2' else newest.read_bytes()
+    newest.write_bytes(damage(raw))
+    if damage(b"12") != b"1":  # else a file system that keeps checksums finds it
+        (newest.parent / f".{newest.name}.crc").unlink()
+    segments = {p.name for p in (path / "segments").iterdir()}
+    s = opened(spark, path, 1, ["v"])
+    assert got(s) == [(1, [1]), (2, [2])] and s._store.clean(s._manifest, older_than_ms=0) == 0
+    assert {p.name for p in (path / "segments").iterdir()} == segments
+    s.append(4, [4])
+    s.append(5, [5])
+    again = opened(spark, path, 1, ["v"])
+    assert got(again) == [(1, [1]), (2, [2]), (4, [4]), (5, [5])] and len(manifests(path)) == 5
+
+
+def test_lost_manifests_are_rebuilt_from_the_segments(spark, tmp_path):
+    path = tmp_path / "s"
+    s = opened(spark, path, 1, ["v"])
+    s.append_batch([1, 2], [[1], [2]])
+    s.append_frame(spark.range(3).selectExpr("id + 3 as ts", "id as v"), "ts")
+    s.add_extras(["x"])
+    s.append(9, [9, 90])
+    before = got(s)
+    for m in manifests(path)[1:]:
+        m.write_bytes(b"")
+        (m.parent / f".{m.name}.crc").unlink()
+    manifests(path)[0].unlink()
+    s = opened(spark, path, 1, ["v"])
+    assert got(s) == before and s.has_extras
+    s._store.forget()
+    s = opened(spark, path, 1, ["v"], 4)
+    assert got(s) == before[-4:]
+    s.append(10, [1, 2])
+    s.compact()
+    s._store.forget()
+    assert got(opened(spark, path, 1, ["v"], 4)) == [*before[-3:], (10, [1, 2])]
+
+
+def test_a_full_disk_caps_the_series_once(spark, tmp_path, monkeypatch):
+    s = opened(spark, tmp_path / "s", 1, ["v"], 100)
+    s.append_batch([1, 2, 3], [[1], [2], [3]])
+    write, left = s._store.write_rows, [1]
+
+    def full(name, table):
+        if left[0]:
+            left[0] -= 1
+            raise OSError(28, "No space left on device")
+        write(name, table)
+
+    monkeypatch.setattr(s._store, "write_rows", full)
+    s.append(4, [4])
+    assert got(s) == [(2, [2]), (3, [3]), (4, [4])] and s.stats().first().max_records == 3 and s.stats().first().total_evictions == 1
+    left[0] = 1
+    with pytest.raises(OSError):
+        s.append(5, [5])
+    s = opened(spark, tmp_path / "t", 1, ["v"])
+    s.append(1, [1])
+    monkeypatch.setattr(s._store, "write_rows", lambda *_: (_ for _ in ()).throw(OSError(28, "No space left on device")))
+    with pytest.raises(CapacityError):
+        s.append(2, [2])
+    assert got(s) == [(1, [1])]
+
+
+def test_columns_may_have_any_name_but_must_differ_whatever_their_case(spark, tmp_path):
+    names = ["at", "part", "offset", "count", "c1", "first"]
+    s = opened(spark, tmp_path / "s", 6, names)
+    s.append(1, [1, 2, 3, 4, 5, 6])
+    s.append_frame(spark.range(4).selectExpr("id + 2 as ts", *[f"cast(id as smallint) as {n}" for n in names]), "ts")
+    assert got(s) == [(1, [1, 2, 3, 4, 5, 6]), *((k + 2, [k] * 6) for k in range(4))]
+    for bad in (["A", "a"], ["Ts"], ["v", ""]):
+        with pytest.raises(ValueError):
+            SeriesConfig("x", len(bad), bad)
+    with pytest.raises(ValueError):
+        s.add_extras(["AT"])
+
+
+def test_many_small_appends_are_merged(spark, tmp_path, monkeypatch):
+    from tidemark import series
+
+    monkeypatch.setattr(series, "FAN", 4)
+    monkeypatch.setattr(series, "FAN_BITS", 2)
+    s = opened(spark, tmp_path / "s", 1, ["v"])
+    for k in range(30):
+        s.append(k + 1, [k])
+        assert len(s._manifest.segments) < 12
+    assert got(s) == [(k + 1, [k]) for k in range(30)] and got(opened(spark, tmp_path / "s")) == got(s)

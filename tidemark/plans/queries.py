@@ -1,4 +1,8 @@
-"""The catalogue: every operator as a query over whole tables, with its SQL for DuckDB."""
+"""The catalogue: every operator as a query over whole tables, with its SQL for DuckDB.
+
+Queries about retention, evolution and recovery write the table into a series of their own and call its
+operations; the others take the table as a series as it is.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import zero_filled
-from ..operators import AggregateRequest, Aggregation, aggregate, aggregate_many, newest, project, range_count, range_scan, trimmed
+from ..operators import AggregateRequest, Aggregation, aggregate, aggregate_many, project, range_count, range_scan
+from ..series import Series
 from ..sources import tables
-from .config import SizeModel, usable
+from ..sources.shared import new_folder
+from .config import SeriesConfig, SizeModel, usable
 
 #: The window of all range queries, in seconds.
 START, END = 1704844800, 1705449600
@@ -51,6 +56,17 @@ def _query(sql: str, name: str | None = None):
     return add
 
 
+def _series(spark: SparkSession, rows: DataFrame, names: list[str] | None = None, capacity: int = 0) -> Series:
+    """A series of its own with rows, which are numbered from 0 on, so that its own numbers are the same."""
+    names = names or [c for c in rows.columns if c not in ("seq", "ts")]
+    out = Series.open(spark, SeriesConfig(new_folder(spark), len(names), names, capacity))
+    out.append_frame(rows, "seq")
+    return out
+
+
+EVER = (0, 2**32 - 1)
+
+
 def _window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.events(spark, sf_dir, START, END)
 
@@ -146,25 +162,26 @@ def agg_sum_wrap(spark, sf_dir):
 
 @_query(f"{_EVENTS} SELECT * FROM series WHERE seq >= (SELECT count(*) FROM series) - {CAPACITY} AND ts <> 0")
 def ring_retention_full(spark, sf_dir):
-    series = tables.events(spark, sf_dir)
-    return range_scan(newest(series, series.count(), CAPACITY), 0, 2**32 - 1)
+    return _series(spark, tables.events(spark, sf_dir), capacity=CAPACITY).scan(*EVER)
 
 
 @_query(f"{_EVENTS} SELECT seq, ts, p0 FROM series WHERE seq >= (SELECT count(*) FROM series) - {RANGE_CAPACITY} AND {_RANGE}")
 def ring_retention_range(spark, sf_dir):
-    n = tables.read(spark, sf_dir, "events").count()
-    return range_scan(newest(_window(spark, sf_dir), n, RANGE_CAPACITY), START, END, [0])
+    return _series(spark, tables.events(spark, sf_dir), capacity=RANGE_CAPACITY).scan(START, END, [0])
 
 
 @_query(f"{_EVENTS} SELECT * FROM series WHERE ts <> 0")
 def ring_unlimited(spark, sf_dir):
-    series = tables.events(spark, sf_dir)
-    return range_scan(newest(series, series.count(), 0), 0, 2**32 - 1)
+    return _series(spark, tables.events(spark, sf_dir)).scan(*EVER)
 
 
-def _with_extras(spark, sf_dir) -> DataFrame:
+def _with_extras(spark, sf_dir) -> Series:
     """Two base columns, and p2 as an extra that only rows from FIRST_EXTRA on have."""
-    return tables.events(spark, sf_dir).withColumn("p2", zero_filled(F.when(F.col("seq") >= FIRST_EXTRA, F.col("p2"))))
+    rows = tables.events(spark, sf_dir)
+    out = _series(spark, rows.where(F.col("seq") < FIRST_EXTRA), ["p0", "p1"])
+    out.add_extras(["p2"])
+    out.append_frame(rows.where(F.col("seq") >= FIRST_EXTRA), "seq")
+    return out
 
 
 _EXTRAS = _EVENTS.replace("FROM events\n)", f"FROM events\n), extras AS (SELECT seq, ts, p0, p1, (CASE WHEN seq >= {FIRST_EXTRA} THEN p2 ELSE 0 END)::SMALLINT AS p2 FROM series)")
@@ -172,24 +189,27 @@ _EXTRAS = _EVENTS.replace("FROM events\n)", f"FROM events\n), extras AS (SELECT
 
 @_query(f"{_EXTRAS} SELECT * FROM extras WHERE ts <> 0")
 def extras_backfill_scan(spark, sf_dir):
-    return range_scan(_with_extras(spark, sf_dir), 0, 2**32 - 1)
+    return _with_extras(spark, sf_dir).scan(*EVER)
 
 
 @_query(f"{_EXTRAS} SELECT " + ", ".join(f"{_AGGREGATES[k].format(c='p2')} AS {k}_p2" for k in ("min", "avg", "sum", "first", "last")) + ", count(*) AS record_count FROM extras WHERE ts <> 0")
 def extras_backfill_agg(spark, sf_dir):
     kinds = ("min", "avg", "sum", "first", "last")
-    return aggregate_many(_with_extras(spark, sf_dir), 0, 2**32 - 1, [AggregateRequest(2, Aggregation(k)) for k in kinds], [f"{k}_p2" for k in kinds])
+    return aggregate_many(_with_extras(spark, sf_dir).frame(), *EVER, [AggregateRequest(2, Aggregation(k)) for k in kinds], [f"{k}_p2" for k in kinds])
 
 
 @_query(f"{_EXTRAS} SELECT seq, ts, p0, p1, 0::SMALLINT AS x_new, p2 FROM extras WHERE ts <> 0")
 def extras_migrate(spark, sf_dir):
-    rows = range_scan(_with_extras(spark, sf_dir), 0, 2**32 - 1)
-    return rows.select("seq", "ts", "p0", "p1", F.lit(0).cast("short").alias("x_new"), "p2")
+    series = _with_extras(spark, sf_dir)
+    series.migrate_extras(["x_new", "p2"])
+    return series.scan(*EVER)
 
 
 @_query(f"{_EXTRAS} SELECT seq, ts, p2, p0, 0::SMALLINT AS site FROM extras WHERE ts <> 0")
 def schema_migrate_project(spark, sf_dir):
-    return range_scan(_with_extras(spark, sf_dir), 0, 2**32 - 1).select("seq", "ts", "p2", "p0", F.lit(0).cast("short").alias("site"))
+    series = _with_extras(spark, sf_dir)
+    series.migrate_schema(["p2", "p0", "site"])
+    return series.scan(*EVER)
 
 
 _FIT = SizeModel(3, 0, 380).fit(usable(BUDGET))
@@ -197,35 +217,36 @@ _FIT = SizeModel(3, 0, 380).fit(usable(BUDGET))
 
 @_query(f"{_EVENTS} SELECT seq - (SELECT count(*) FROM series) + least((SELECT count(*) FROM series), {_FIT}) AS seq, ts, p0, p1, p2 FROM series WHERE seq >= (SELECT count(*) FROM series) - {_FIT}")
 def schema_migrate_trim(spark, sf_dir):
-    series = tables.events(spark, sf_dir)
-    n = series.count()
-    keep = trimmed(n, SizeModel(3, 0, 380), BUDGET, allow_trim=True)
-    return newest(series, n, keep).withColumn("seq", F.col("seq") - (n - keep))
+    series = _series(spark, tables.events(spark, sf_dir), ["p2", "p1", "p0"])
+    series.migrate_schema(["p0", "p1", "p2"], free_space_bytes=BUDGET, allow_trim=True)
+    return series.frame()
 
 
 @_query(f"{_EVENTS} SELECT seq, ts, p0, p1, p2 FROM series WHERE seq >= (SELECT count(*) FROM series) - 25")
 def resize_shrink_newest(spark, sf_dir):
-    series = tables.events(spark, sf_dir)
-    return newest(series, series.count(), 25)
+    series = _series(spark, tables.events(spark, sf_dir))
+    before = series.stats().first().total_records
+    series.resize(25)
+    return series.frame().withColumn("seq", F.col("seq") + max(0, before - 25))  # a resized series counts from its first row
 
 
 @_query(f"""{_EVENTS} SELECT least(count(*), {CAPACITY}) AS total_records, {CAPACITY}::BIGINT AS max_records,
   arg_min(ts, seq) FILTER (seq >= (SELECT count(*) FROM series) - {CAPACITY}) AS oldest_timestamp, arg_max(ts, seq) AS newest_timestamp,
   count(*) AS total_writes, greatest(count(*) - {CAPACITY}, 0) AS total_evictions FROM series""")
 def stats(spark, sf_dir):
-    series = tables.events(spark, sf_dir)
-    n = series.count()
-    held = newest(series, n, CAPACITY)
-    number = lambda v: F.lit(v).cast("long")
-    return held.agg(F.count(F.lit(1)).alias("total_records"), F.min_by("ts", "seq").alias("oldest_timestamp"), F.max_by("ts", "seq").alias("newest_timestamp")).select("total_records", number(CAPACITY).alias("max_records"), "oldest_timestamp", "newest_timestamp", number(n).alias("total_writes"), number(max(0, n - CAPACITY)).alias("total_evictions"))
+    series = _series(spark, tables.events(spark, sf_dir), capacity=CAPACITY)
+    return series.stats().select("total_records", "max_records", "oldest_timestamp", "newest_timestamp", "total_writes", "total_evictions")
 
 
 @_query(f"{_ORDERS} SELECT count(*) AS total_records, min(ts) AS min_ts, max(ts) AS max_ts, arg_min(ts, seq) AS oldest_timestamp, arg_max(ts, seq) AS newest_timestamp, min(seq) AS first_seq, max(seq) AS last_seq FROM series WHERE ts <> 0")
 def header_rebuild(spark, sf_dir):
-    rows = tables.orders(spark, sf_dir).where("ts <> 0")
+    """The series loses its manifests and is opened again."""
+    lost = _series(spark, tables.orders(spark, sf_dir))
+    lost.store.forget()
+    rows = Series.open(spark, lost.config).frame()
     return rows.agg(F.count(F.lit(1)).alias("total_records"), F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"), F.min_by("ts", "seq").alias("oldest_timestamp"), F.max_by("ts", "seq").alias("newest_timestamp"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
 @_query(f"{_EVENTS} SELECT '{{\"ts\":' || ts || ',\"p0\":' || p0 || ',\"p1\":' || p1 || ',\"p2\":' || p2 || '}}' AS json FROM series WHERE {_RANGE}")
 def rows_as_json(spark, sf_dir):
-    return range_scan(_window(spark, sf_dir), START, END).select(F.to_json(F.struct("ts", "p0", "p1", "p2")).alias("json"))
+    return _series(spark, tables.events(spark, sf_dir)).query(START, END).to_json()

@@ -97,6 +97,10 @@ class Series:
     def _commit(self, new: Manifest) -> None:
         self._manifest = self._store.commit(self._manifest, new)
 
+    @property
+    def store(self) -> Store:
+        return self._store
+
     @property
     def is_open(self) -> bool:
         return self._open

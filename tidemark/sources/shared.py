@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 import warnings
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -31,19 +33,51 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession) -> str:
-    """The path of a new folder there; it is removed by release(), which the end of the process calls."""
-    if not _paths:
-        atexit.register(release, spark)
+    """The path of a new folder there; see release() for when it is removed."""
+    _on_stop(spark)
     _paths.append(f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}")
     return _paths[-1]
 
 
-def release(spark: SparkSession) -> None:
-    """Remove all folders of new_folder(); a warning names those that could not be."""
-    while _paths:
+def release(spark: SparkSession, keep: int = 0) -> None:
+    """Remove the folders of new_folder() but for the keep first; results that were not yet written or collected go with them.
+
+    All are removed when the session is stopped, or else when the driver's process ends. What can't be
+    removed is named in a warning.
+    """
+    while len(_paths) > keep:
         path = _paths.pop()
         try:
             at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
         except Exception as e:  # noqa: BLE001  no kind of failure may keep the others from being removed
             warnings.warn(f"{path} was not removed: {e!r}", stacklevel=2)
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Folders made within are removed on leaving: write or collect results before."""
+    keep = len(_paths)
+    try:
+        yield
+    finally:
+        release(spark, keep)
+
+
+def _on_stop(spark: SparkSession) -> None:
+    """Have release() run while the session can still remove."""
+    if getattr(spark.stop, "releases", False):
+        return
+    stop = spark.stop
+
+    def released() -> None:
+        release(spark)
+        atexit.unregister(released_at_exit)
+        stop()
+
+    def released_at_exit() -> None:
+        release(spark)
+
+    released.releases = True
+    spark.stop = released
+    atexit.register(released_at_exit)
