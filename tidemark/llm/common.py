@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-import warnings
 from collections.abc import Iterator
-from contextlib import contextmanager
 from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..sources.shared import new_folder
 
 #: Fixed value: the word pattern of the contracts (anything but ASCII white space).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,84 +18,15 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 _ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
-_own: dict[str, str] = {}
-_paths: list[str] = []
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the one that the cluster names in spark.checkpoint.dir. Where that is unset, a folder of this
-    process is used if all tasks run on this machine, as in tests; on a cluster that is an error.
-    """
-    if at := spark.conf.get("spark.checkpoint.dir", None):
-        return at.rstrip("/")
-    if at := spark.sparkContext.getCheckpointDir():
-        return at.rstrip("/")
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(f"file://{_own[app]}")
-    return f"file://{_own[app]}"
-
-
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder; see release() for when what it holds is deleted."""
-    path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}/{tag}"
-    _on_stop(spark)
-    _paths.append(path.rpartition("/")[0])
-    return path
-
-
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Delete intermediate tables but for the keep first; results that were not yet written or collected go with them.
-
-    All are released when the session is stopped and when the driver's process ends. What can't be
-    deleted is named in a warning.
-    """
-    while len(_paths) > keep:
-        _delete(spark, _paths.pop())
-
-
-@contextmanager
-def intermediates(spark: SparkSession) -> Iterator[None]:
-    """Tables stored within are deleted on leaving: write or collect results before."""
-    keep = len(_paths)
-    try:
-        yield
-    finally:
-        release(spark, keep)
-
-
-def _on_stop(spark: SparkSession) -> None:
-    """Have release() run while the session can still delete."""
-    if getattr(spark.stop, "releases", False):
-        return
-    atexit.register(release, spark)
-    stop = spark.stop
-
-    def released() -> None:
-        release(spark)
-        atexit.unregister(release)
-        stop()
-
-    released.releases = True
-    spark.stop = released
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception as e:  # noqa: BLE001  no kind of failure may keep the others from being deleted
-        warnings.warn(f"{path} was not deleted: {e!r}", stacklevel=2)
+    """A new path in the shared folder; release() says when it goes."""
+    return f"{new_folder(spark)}/{tag}"
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
