@@ -1,7 +1,8 @@
 """From documents to token files: the stages of a training-data pipeline, each one of the operators.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-again as the next one's docs. All but the last return the columns of documents.
+again as the next one's docs. All but the last return the columns of documents. Empty documents stay
+empty through all stages; extra columns of any name are carried along.
 """
 
 from __future__ import annotations
@@ -15,27 +16,27 @@ from tidemark.llm.common import read, stored
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go: null and empty texts too, and repeated rows together."""
     return quality_rules.filter_quality(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the least doc_id."""
+    """One document of each group of near-duplicates stays: the one with the least doc_id, null last; of equal rows, any one."""
     return simhash.keep_one(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a window of a benchmark item occurs go."""
+    """Documents in which a window of a benchmark item occurs go; null texts have none, and without items all stay."""
     return decontamination.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated, or left out, as their source's target weight asks."""
+    """Documents are repeated, or left out, as their source's target weight asks; a null source is one of its own."""
     return mixing.mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all documents, and where each document stands in them."""
+    """Token files of all documents, and where each document stands in them; a null text has only its end."""
     return token_files.token_files(docs)
 
 
