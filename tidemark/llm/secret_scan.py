@@ -7,11 +7,11 @@ one holds all up to TAIL characters behind the run's end, and the run's score is
 network is trained on the driver on a bounded sample: at most max_sample labelled windows of the corpus
 (those that read a pattern finding are positive, the rest negative) and as many generated findings and
 look-alikes. A held-back part calibrates its probabilities (Platt scaling) and sets the threshold: the
-highest one that keeps min_recall of the held-back positives. Corpus negatives that a first network,
+highest one that keeps min_recall of the held-back positives, of the corpus and generated each. Corpus negatives that a first network,
 trained without their half of the sample, takes for findings are left out of the training part only.
 
-Null text: no findings. Empty table: no rows. Repeated rows are scanned alike. Extra columns are
-ignored. Findings of one document are ordered by start, then by kind as in KINDS.
+Null text: no findings. Empty table: no rows. Repeated rows are scanned alike. Very long texts are read
+whole, in time that grows with their length. Extra columns are ignored. Findings of one document are ordered by start, then by kind as in KINDS.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -52,9 +54,22 @@ def base_findings(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+class Spans:
+    """Spans ordered by start, asked whether one of them meets another span."""
+
+    def __init__(self, found: list[tuple[int, int, int]]) -> None:
+        self.starts = [a for a, _, _ in found]
+        self.upto = list(accumulate((b for _, _, b in found), max))
+
+    def meet(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end)
+        return k > 0 and self.upto[k - 1] > start
+
+
 def candidates(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, end, 1 if it overlaps a pattern finding) of each candidate."""
-    return [(m.start(), m.end(), int(any(a < m.end() and m.start() < b for a, _, b in found))) for m in CANDIDATE.finditer(text)]
+    spans = Spans(found)
+    return [(m.start(), m.end(), int(spans.meet(*m.span()))) for m in CANDIDATE.finditer(text)]
 
 
 def windows(start: int, end: int) -> range:
@@ -82,6 +97,7 @@ class Network:
             "ob": np.zeros(1, np.float32),
         }
         self.scale, self.shift, self.threshold = 1.0, 0.0, 0.5
+        self.recall: dict[int, tuple[int, float]] = {}  # by kind, 0 generated and 1 of the corpus: held-back positives, and their share that is found
 
     @classmethod
     def encode(cls, contexts: list[str]) -> np.ndarray:
@@ -173,8 +189,8 @@ class Network:
                     v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
                     self.p[k] -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-7)).astype(np.float32)
 
-    def calibrate(self, contexts: list[str], lengths: np.ndarray, y: np.ndarray, min_recall: float) -> None:
-        """Platt scaling by Newton steps on smoothed labels; then the threshold."""
+    def calibrate(self, contexts: list[str], lengths: np.ndarray, y: np.ndarray, min_recall: float, kind: np.ndarray | None = None) -> None:
+        """Platt scaling by Newton steps on smoothed labels; then the threshold, which keeps min_recall of the positives of each kind (all are one without it)."""
         z = self.logits(contexts, lengths).astype(np.float64)
         target = np.where(y == 1, ((y == 1).sum() + 1) / ((y == 1).sum() + 2), 1 / ((y == 0).sum() + 2))
         w = np.array([1.0, 0.0])
@@ -184,8 +200,10 @@ class Network:
             grad, hess = x.T @ (p - target) + 1e-3 * (w - [1, 0]), (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
             w -= np.linalg.solve(hess, grad)
         self.scale, self.shift = float(w[0]), float(w[1])
-        p = np.sort((1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))[y == 1])
-        self.threshold = float(p[int((1 - min_recall) * len(p))]) if len(p) else 1.0
+        p, kind = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), np.zeros(len(y), int) if kind is None else kind
+        each = [np.sort(p[(y == 1) & (kind == k)]) for k in np.unique(kind[y == 1])]
+        self.threshold = min((float(q[int((1 - min_recall) * len(q))]) for q in each), default=1.0)
+        self.recall = {int(k): (int(((y == 1) & (kind == k)).sum()), float((p[(y == 1) & (kind == k)] >= self.threshold).mean())) for k in np.unique(kind[y == 1])}
 
 
 def samples(n: int, seed: int = 3) -> list[tuple[str, int, int, int]]:
@@ -276,9 +294,10 @@ def findings(docs: DataFrame, most: int = 2000, seed: int = 5) -> DataFrame:
             rows: tuple[set, set] = (set(), set())
             for text in texts_of(batch):
                 found = base_findings(text)
+                spans = Spans(found)
                 for a, b, y in candidates(text, found):
                     for s in windows(a, b):
-                        if not y or any(f < min(b, s + AFTER) and s < e for f, _, e in found):
+                        if not y or spans.meet(s, min(b, s + AFTER)):
                             c = context(text, s)
                             rows[y].add((zlib.crc32(c.encode("utf-8", "surrogatepass"), seed), c, b - s))
                     if len(rows[y]) > 16 * most:
@@ -309,7 +328,7 @@ def train(found: DataFrame, max_sample: int = 4000, min_recall: float = 0.98, se
             doubtful[asked] = net.probabilities(*pick(asked)[:2]) > 0.5
     net = Network()
     net.fit(*pick(~held & ~doubtful))
-    net.calibrate(*pick(held), min_recall)
+    net.calibrate(*pick(held), min_recall, (np.arange(len(labels)) >= max_sample)[held].astype(int))
     return net
 
 
