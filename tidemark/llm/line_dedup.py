@@ -9,8 +9,7 @@ removed everywhere else.
 
 Equal chunks are merged before the shuffle. Decisions go back by the chunk's 64-bit hash: only chunks that
 are compared are joined, and those that stand in a large share of all documents where the documents are
-read. Where chunks of different bytes share a hash, they go by the bytes. Texts are cut again after the
-join, so that it moves them once and nothing else of their size.
+read. Where chunks of different bytes share a hash, they go by the bytes.
 """
 
 from __future__ import annotations
@@ -74,11 +73,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         gone = _gone(places.join(shared, "h", "left_anti"), "h", by_hash.where("kinds = 1 and first < last").select("h", "first", "n"))
         same = stored(each.join(shared, "h", "left_semi").drop("h"), "shared-hashes")
         gone = gone.unionByName(_gone(same, "body", same.groupBy("body").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n"))))
-    flags = gone.groupBy("doc", "th").agg(F.collect_set("j").alias("gone"))  # no more than a text has chunks
-    joined = with_chunks(docs.join(flags, ["doc", "th"], "left"))
-    joined = joined.withColumns({"n_lines": F.size("lines").cast("long"), "n_chunks": F.size("chunks").cast("long")})
-    stay = F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), F.coalesce("gone", F.array().cast("array<int>")))
-    joined = joined.withColumn("kept", F.transform(stay, lambda i: F.get(F.col("chunks"), i)))
+    flags = stored(gone.groupBy("doc", "th").agg(F.sort_array(F.collect_set("j")).alias("js")), "flags")  # no more than a text has chunks
+    marks = F.transform("js", lambda j, k: F.concat(F.repeat(F.lit("0"), j - F.coalesce(F.get(F.col("js"), k - 1), F.lit(-1)) - 1), F.lit("1")))
+    flags = flags.select("doc", "th", F.split(F.array_join(marks, ""), "").alias("gone"))  # for each chunk "1" if it goes; made below the join, so that lambdas only look it up
+    joined = cut.join(flags, ["doc", "th"], "left")
+    joined = joined.withColumns({"kept": F.filter("chunks", lambda c, i: F.coalesce(F.get(F.col("gone"), i), F.lit("0")) != "1"), "n_lines": F.size("lines").cast("long"), "n_chunks": F.size("chunks").cast("long")})
     kept_lines = F.flatten(F.transform("kept", lambda c: F.slice("lines", c["start"] + 1, c["n"])))
     kept_text = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept_lines, "\n"))
     removed_lines = F.col("n_lines") - F.aggregate("kept", F.lit(0).cast("long"), lambda a, c: a + c["n"])
