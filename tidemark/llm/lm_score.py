@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .chunks import chunked, opened
 from .common import _ASCII_LOWER, record_batch, stored, texts_of, whole_groups, words_of
 
-END, PAD, DEPTH, NEAR, LEAST, GROUP = 10, 13, 5, 3, 5, 32 << 20
+END, PAD, DEPTH, NEAR, LEAST, GROUP = 10, 13, 5, 3, 5, 48 << 20
 ROOT_BYTES = 2 * 256**3 * 4
 PART = 1 << 16  # rows of a batch that is sent
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
