@@ -22,22 +22,23 @@ Word counts, for the base score, take the same way: a group sends its distinct w
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import chunked, opened
-from .common import _ASCII_LOWER, record_batch, stored, texts_of, whole_groups, words_of
+from .common import _ASCII_LOWER, record_batch, slices, stored, texts_of, whole_groups, words_of
 
 END, PAD, DEPTH, NEAR, LEAST, GROUP = 10, 13, 5, 3, 5, 48 << 20
 ROOT_BYTES = 2 * 256**3 * 4
 PART = 1 << 16  # rows of a batch that is sent
+FOLD = 1 << 20  # rows that wait before they are merged
+SCORED = 1 << 20  # bytes of text whose places are looked up at once
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 GATHERED = "grp long, key long, word binary, n long"
 #: What meets in a group's task: slot is 4 * group + kind; kinds are contexts (a: place), words (a: count, b: word) and chunks (b: payload).
@@ -82,34 +83,43 @@ def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return key[head], np.add.reduceat(n, head) if len(key) else n
 
 
+def summed_words(parts: list[pa.Table]) -> pa.Table:
+    """Distinct words, and the sums of what belongs to each (columns word and n); no Python object is held for a word."""
+    total = pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("n", "sum")])
+    return pa.table({"word": total["word"], "n": total["n_sum"]})
+
+
+def folded(parts: list, merge: Callable, rows: Callable) -> list:
+    """The parts, merged into one when those behind the first have as many rows as it: few rows wait, and each is merged few times."""
+    return [merge(parts)] if sum(map(rows, parts[1:])) >= max(FOLD, rows(parts[0])) else parts
+
+
 def gathered(chunks: DataFrame, depth: int) -> DataFrame:
     """Each group's distinct places and words with their counts over the training documents; columns as in GATHERED."""
 
-    def sent(grp: int, held: list, words: Counter) -> Iterator[pa.RecordBatch]:
+    def sent(grp: int, held: list, words: list) -> Iterator[pa.RecordBatch]:
         key, n = summed(held)
         for a in range(0, len(key), PART):
             k = key[a : a + PART]
             yield record_batch(GATHERED, {"grp": np.full(len(k), grp), "key": k, "word": pa.nulls(len(k), pa.binary()), "n": n[a : a + PART]})
-        each = iter(words.items())
-        while some := list(islice(each, PART)):
-            w, c = zip(*some, strict=True)
-            yield record_batch(GATHERED, {"grp": np.full(len(w), grp), "key": np.zeros(len(w), np.int64), "word": w, "n": c})
+        for part in summed_words(words).to_batches(PART):
+            yield record_batch(GATHERED, {"grp": np.full(len(part), grp), "key": np.zeros(len(part), np.int64), "word": part["word"], "n": part["n"]})
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grp, held, words = None, [], Counter()
+        grp, held, words = None, [], []
         for row, docs in opened(batches):
             if grp is not None and row["grp"].as_py() != grp:
                 yield from sent(grp, held, words)
-                held, words = [], Counter()
+                held, words = [], []
             grp, texts = row["grp"].as_py(), texts_of(docs)
             known = np.array([not held_out(i) for i in docs.column("doc_id").to_pylist()])
             for train in (True, False):
                 key, n = np.unique(places_of(stream_of([t for t, k in zip(texts, known, strict=True) if k == train]), depth), return_counts=True)
                 held.append((key, n if train else np.zeros_like(n)))
-            if len(held) >= 16:
-                held = [summed(held)]
+                held = folded(held, summed, lambda part: len(part[0]))
             offsets, ids, own = words_of(texts, lower=True)
-            words.update(dict(zip(own, np.bincount(ids[np.repeat(known, np.diff(offsets))], minlength=len(own)).tolist(), strict=True)))
+            words.append(pa.table({"word": pa.array(own, pa.binary()), "n": np.bincount(ids[np.repeat(known, np.diff(offsets))], minlength=len(own))}))
+            words = folded(words, summed_words, len)
         if grp is not None:
             yield from sent(grp, held, words)
 
@@ -226,36 +236,39 @@ def score_documents(docs: DataFrame, *, depth: int = DEPTH, least: int = LEAST,
     met = met.repartition(F.shiftright("slot", 2)).sortWithinPartitions("slot")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grp, keys, scores, count = None, [], [], {}
+        grp, keys, scores, words, counts = None, [], [], [], []
         for slot, part in _runs(batches):
             if slot >> 2 != grp:
-                grp, keys, scores, count = slot >> 2, [], [], {}
+                grp, keys, scores, words, counts = slot >> 2, [], [], [], []
             if slot & 3 == CONTEXTS:
                 keys.append(part.column("a").to_numpy())
                 scores.append(part.column("v").to_numpy())
             elif slot & 3 == WORDS:
-                count.update(zip(part.column("b").to_pylist(), part.column("a").to_pylist(), strict=True))
+                words.append(part.column("b"))
+                counts.append(part.column("a").to_numpy())
             else:
                 if isinstance(keys, list):  # all are here, as slots come in order
                     first = np.unique(np.concatenate(keys), return_index=True)
                     keys, scores = pd.Index(first[0]), np.concatenate(scores)[first[1]]
+                    words, counts = pa.chunked_array(words, pa.binary()).combine_chunks(), np.concatenate([*counts, np.zeros(0, np.int64)])
                 for payload in part.column("b"):
                     with pa.ipc.open_stream(payload.as_buffer()) as documents:
                         for rows in documents:
-                            yield scored(rows, keys, scores, count)
-
-    def scored(rows: pa.RecordBatch, keys: pd.Index, scores: np.ndarray, count: dict[bytes, int]) -> pa.RecordBatch:
-        texts = texts_of(rows)
-        offsets, ids, own = words_of(texts, lower=True)
-        c = np.fromiter(map(count.__getitem__, own), np.int64, len(own))
-        logs, of = np.log10((c + 1) / (tokens + types + 1)), np.repeat(np.arange(len(texts)), np.diff(offsets))
-        base = np.bincount(of, logs[ids], len(texts)) + np.log10((n_ends + 1) / (tokens + types + 1))
-        known = np.bincount(of, c[ids] > 0, len(texts)).astype(np.int64) + (n_ends > 0)
-        stream = stream_of(texts)
-        each = scores[keys.get_indexer(places_of(stream, depth))].astype(np.float64)
-        ends = np.flatnonzero(stream == END)
-        score = np.add.reduceat(each, ends[:-1]) if len(texts) else np.zeros(0)
-        return record_batch(RESULT, {"doc_id": rows.column("doc_id"), "held_out": [held_out(i) for i in rows.column("doc_id").to_pylist()], "n_tokens": np.diff(offsets) + 1, "n_known": known, "train_tokens": np.full(len(texts), tokens), "base_score": base, "score": score})
+                            yield scored(rows, keys, scores, words, counts)
+
+    def scored(rows: pa.RecordBatch, keys: pd.Index, scores: np.ndarray, words: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+        offsets, ids, own = words_of(texts_of(rows), lower=True)
+        c = counts[pc.index_in(pa.array(own, pa.binary()), value_set=words).to_numpy(zero_copy_only=False)]
+        logs, of = np.log10((c + 1) / (tokens + types + 1)), np.repeat(np.arange(len(rows)), np.diff(offsets))
+        base = np.bincount(of, logs[ids], len(rows)) + np.log10((n_ends + 1) / (tokens + types + 1))
+        known = np.bincount(of, c[ids] > 0, len(rows)).astype(np.int64) + (n_ends > 0)
+        score = [np.zeros(0)]
+        for part in slices([rows], max_bytes=SCORED):
+            stream = stream_of(texts_of(part))
+            each = scores[keys.get_indexer(places_of(stream, depth))].astype(np.float64)
+            score.append(np.add.reduceat(each, np.flatnonzero(stream == END)[:-1]))
+        score = np.concatenate(score)
+        return record_batch(RESULT, {"doc_id": rows.column("doc_id"), "held_out": [held_out(i) for i in rows.column("doc_id").to_pylist()], "n_tokens": np.diff(offsets) + 1, "n_known": known, "train_tokens": np.full(len(rows), tokens), "base_score": base, "score": score})
 
     return met.mapInArrow(judge, RESULT)
 
