@@ -5,10 +5,11 @@ import math
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, decontamination, mixing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, textstats
+from tidemark.llm import common, decontamination, lm_score, mixing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, textstats
 
 NAMES = ["hit_doc", "hit_text", "d", "t", "n", "k", "w", "th", "fp", "root", "u", "whole", "part", "times", "short", "row", "planned_source", "rest", "edge", "before", "h", "key", "chunk"]
 
@@ -191,3 +192,18 @@ def test_more_fingerprints_are_cut_into_more_blocks():
 def test_benchmark_without_ids_or_words(spark, crowded):
     none = spark.createDataFrame([(None, "plain"), (1, None)], "item_id long, text string")
     assert decontamination.drop_contaminated(crowded, none).count() == crowded.count()
+
+
+def test_counts_of_a_group_are_merged_early(monkeypatch):
+    monkeypatch.setattr(lm_score, "FOLD", 4)
+    words, places = [], []
+    for k in range(20):
+        words.append(pa.table({"word": pa.array([b"a", b"%d" % k], pa.binary()), "n": pa.array([1, k], pa.int64())}))
+        places.append((np.array([-1, k]), np.array([1, k])))
+        words = lm_score.folded(words, lm_score.summed_words, len)
+        places = lm_score.folded(places, lm_score.summed, lambda part: len(part[0]))
+    assert max(len(words), len(places)) < 20
+    total = lm_score.summed_words(words)
+    assert dict(zip(total["word"].to_pylist(), total["n"].to_pylist(), strict=True)) == {b"a": 20} | {b"%d" % k: k for k in range(20)}
+    key, n = lm_score.summed(places)
+    assert key.tolist() == [-1, *range(20)] and n.tolist() == [20, *range(20)]
