@@ -9,7 +9,8 @@ removed everywhere else.
 
 Equal chunks are merged before the shuffle. Decisions go back by the chunk's 64-bit hash: only chunks that
 are compared are joined, and those that stand in a large share of all documents where the documents are
-read. Where chunks of different bytes share a hash, they go by the bytes.
+read. Where chunks of different bytes share a hash, they go by the bytes. Texts travel once, to meet the
+lines that go from them; chunks and lines do not travel with them.
 """
 
 from __future__ import annotations
@@ -31,24 +32,27 @@ def line_hash(line: Column) -> Column:
 # and carries it, with all that makes the array, below and into the lambdas, where it runs for each line.
 
 
-def with_chunks(docs: DataFrame) -> DataFrame:
-    """docs (with a column text) with lines and chunks: an array of (start, n, body).
-
-    start counts from 0; body is null where a chunk isn't compared.
-    """
+def with_ends(docs: DataFrame) -> DataFrame:
+    """docs (with a column text) with lines, and ends: the place of each chunk's last line, counted from 0."""
     step = docs.select("*", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
     step = step.withColumn("hashes", F.transform("lines", line_hash))
     back = lambda i, k: F.coalesce(F.get(F.col("hashes"), i - k), F.lit(0).cast("long"))
     step = step.withColumn("marks", F.transform("hashes", lambda x, i: ((back(i, 2) * BASE * BASE + back(i, 1) * BASE + x) % MODULUS) % DIVISOR == 0))
     last = F.size("marks") - 1
     ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | ((i > 0) & F.get(F.col("marks"), i) & ~F.get(F.col("marks"), i - 1)))
-    step = step.withColumn("ends", ends)
+    return step.withColumn("ends", ends).drop("hashes", "marks")
+
+
+def with_chunks(docs: DataFrame) -> DataFrame:
+    """docs (with a column text) with lines, ends and chunks: an array of (start, size, body).
+
+    start counts from 0; body is null where a chunk isn't compared.
+    """
     start = lambda j: F.coalesce(F.get(F.col("ends"), j - 1) + 1, F.lit(0))
     body = lambda e, j: F.when(e > start(j), F.array_join(F.slice("lines", start(j) + 1, e - start(j) + 1), "\n"))
-    chunk = lambda e, j: F.struct(start(j).alias("start"), (e - start(j) + 1).alias("n"), body(e, j).alias("body"))
-    compared = lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), F.when(c["body"].rlike(r"[^\x20\x09-\x0D]"), c["body"]).alias("body"))
-    step = step.withColumn("chunks", F.transform(F.transform("ends", chunk), compared))
-    return step.drop("hashes", "marks", "ends")
+    chunk = lambda e, j: F.struct(start(j).alias("start"), (e - start(j) + 1).alias("size"), body(e, j).alias("body"))
+    compared = lambda c: F.struct(c["start"].alias("start"), c["size"].alias("size"), F.when(c["body"].rlike(r"[^\x20\x09-\x0D]"), c["body"]).alias("body"))
+    return with_ends(docs).withColumn("chunks", F.transform(F.transform("ends", chunk), compared))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -64,7 +68,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     bodies = cut.select("doc", F.explode_outer("chunks.body").alias("body")).where("body is not null")
     texts = bodies.groupBy("body").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n"))
     by_hash = stored(texts.groupBy(F.xxhash64("body").alias("h")).agg(F.count(F.lit(1)).alias("kinds"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")), "chunk-hashes")
-    each = cut.select("doc", "th", F.posexplode_outer("chunks").alias("j", "c")).select("doc", "th", "j", "c.body").where("body is not null").withColumn("h", F.xxhash64("body"))
+    each = cut.select("doc", "th", F.explode_outer("chunks").alias("c")).select("doc", "th", "c.start", "c.size", "c.body").where("body is not null").withColumn("h", F.xxhash64("body"))
     places = stored(each.drop("body"), "chunk-places")
     shared = by_hash.where("kinds > 1").select("h")
     if shared.isEmpty():
@@ -73,22 +77,27 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         gone = _gone(places.join(shared, "h", "left_anti"), "h", by_hash.where("kinds = 1 and first < last").select("h", "first", "n"))
         same = stored(each.join(shared, "h", "left_semi").drop("h"), "shared-hashes")
         gone = gone.unionByName(_gone(same, "body", same.groupBy("body").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n"))))
-    flags = stored(gone.groupBy("doc", "th").agg(F.sort_array(F.collect_set("j")).alias("js")), "flags")  # no more than a text has chunks
-    marks = F.transform("js", lambda j, k: F.concat(F.repeat(F.lit("0"), j - F.coalesce(F.get(F.col("js"), k - 1), F.lit(-1)) - 1), F.lit("1")))
-    flags = flags.select("doc", "th", F.split(F.array_join(marks, ""), "").alias("gone"))  # for each chunk "1" if it goes; made below the join, so that lambdas only look it up
-    joined = cut.join(flags, ["doc", "th"], "left")
-    joined = joined.withColumns({"kept": F.filter("chunks", lambda c, i: F.coalesce(F.get(F.col("gone"), i), F.lit("0")) != "1"), "n_lines": F.size("lines").cast("long"), "n_chunks": F.size("chunks").cast("long")})
-    kept_lines = F.flatten(F.transform("kept", lambda c: F.slice("lines", c["start"] + 1, c["n"])))
-    kept_text = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept_lines, "\n"))
-    removed_lines = F.col("n_lines") - F.aggregate("kept", F.lit(0).cast("long"), lambda a, c: a + c["n"])
-    return joined.select("doc_id", "n_lines", "n_chunks", (F.col("n_chunks") - F.size("kept")).alias("n_removed_chunks"), removed_lines.alias("n_removed_lines"), kept_text.alias("kept_text"))
+    flags = stored(gone.groupBy("doc", "th").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("ranges")), "flags")  # no more than a text has chunks
+    before = lambda k: F.coalesce(F.get(F.col("ranges"), k - 1)["start"] + F.get(F.col("ranges"), k - 1)["size"], F.lit(0))
+    marks = F.array_join(F.transform("ranges", lambda r, k: F.concat(F.repeat(F.lit("0"), r["start"] - before(k)), F.repeat(F.lit("1"), r["size"]))), "")
+    removed = F.aggregate("ranges", F.lit(0).cast("long"), lambda a, r: a + r["size"])
+    # for each line whether it goes; made below the join, so that the lambda above it only looks it up
+    flags = flags.select("doc", "th", F.transform(F.split(marks, ""), lambda x: x == "1").alias("gone"), F.size("ranges").alias("n_gone"), removed.alias("n_removed_lines"))
+    counted = with_ends(docs).select("doc_id", "doc", "th", "text", F.size("lines").cast("long").alias("n_lines"), F.size("ends").cast("long").alias("n_chunks"))
+    # a join by shuffle at any size: texts travel once, and the flags, which grow with the corpus, are never broadcast
+    joined = counted.join(flags.hint("merge"), ["doc", "th"], "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.coalesce(F.get(F.col("gone"), i), F.lit(False))), "\n")
+    kept_text = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept)
+    none = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c)
+    return joined.select("doc_id", "n_lines", "n_chunks", none("n_gone").alias("n_removed_chunks"), none("n_removed_lines"), kept_text.alias("kept_text"))
 
 
 def _gone(places: DataFrame, key: str, first: DataFrame) -> DataFrame:
-    """doc, th and j of each chunk that an earlier document, or an earlier place in its own, has; first: the first document of each key, and n rows or more that have it."""
-    twice = places.groupBy("doc", "th", key).agg(F.min("j").alias("one"), F.max("j").alias("other")).where("one < other").drop("other")
-    again = places.join(twice, ["doc", "th", key]).where("j > one").select("doc", "th", "j")
-    return spread_join(places, first, key, "n").where("first < doc").select("doc", "th", "j").unionByName(again)
+    """doc, th, start and size of each chunk that an earlier document, or an earlier place in its own, has; first: the first document of each key, and n rows or more that have it."""
+    own = ["doc", "th", "start", "size"]
+    twice = places.groupBy("doc", "th", key).agg(F.min("start").alias("one"), F.max("start").alias("other")).where("one < other").drop("other")
+    again = places.join(twice, ["doc", "th", key]).where("start > one").select(own)
+    return spread_join(places, first, key, "n").where("first < doc").select(own).unionByName(again)
 
 
 def digest(result: DataFrame) -> DataFrame:
