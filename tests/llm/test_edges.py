@@ -207,3 +207,18 @@ def test_counts_of_a_group_are_merged_early(monkeypatch):
     assert dict(zip(total["word"].to_pylist(), total["n"].to_pylist(), strict=True)) == {b"a": 20} | {b"%d" % k: k for k in range(20)}
     key, n = lm_score.summed(places)
     assert key.tolist() == [-1, *range(20)] and n.tolist() == [20, *range(20)]
+
+
+def test_token_ids_of_marks_and_uneven_spaces_are_the_library_s():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tidemark.llm import token_files
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    marks = ["that***", "thre%%%", "it's", "in$'t", "a_b", "Är.,", "x<|endoftext|>y", "end<|endoftext|>", "<|endoftext|>", "w!!", "\nLine***", "\n\nz", "", "12.5%", "ǆ###", "日本。"]
+    rng = np.random.default_rng(6)
+    texts = ["", " ", "\n", *marks, *[rng.choice([" ", "  ", "\n", " \n"], p=[0.85, 0.05, 0.05, 0.05]).join(rng.choice(marks, 12)) for _ in range(400)]]
+    code, plain = token_files.Encoder(path), Tokenizer.from_file(path)
+    for part in (texts, texts[::-1]):
+        assert [ids.tolist() for ids in code.encode(part)] == [plain.encode(t, add_special_tokens=False).ids for t in part]

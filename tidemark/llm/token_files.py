@@ -24,6 +24,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 import zstandard
@@ -38,8 +39,8 @@ SEEK_MAGIC, FOOTER_MAGIC, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 END_ID = 0
 WRITTEN = "shard int, path string, n_docs long, n_tokens long"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
-#: The key of a piece of letters behind a space or a line break, maybe with a stop after them.
-_PLAIN = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?)")
+#: The key of a piece of letters behind a space or a line break, maybe with ASCII marks but the apostrophe after them.
+_PLAIN = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
 _UNSAFE, _CUT = re.compile(r"\s[ \n]"), re.compile(r"(?<=\S)(?=[ \n])")
 
 
@@ -66,11 +67,11 @@ class Encoder:
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         moved = [b for b in range(256) if b not in kept]  # bytes without a visible form stand above 255, in order
         self.spelling = {b: chr(256 + k) for k, b in enumerate(moved)}
-        self.stops = {c: [self.tokenizer.token_to_id(c)] for c in ".,"} | {"": []}
         self._reset()
 
     def _reset(self) -> None:
         self.known: dict[str, int] = {}
+        self.stops: dict[str, list[int]] = {"": []}  # ids of the marks behind letters, which are pre-tokens of their own
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.first, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
@@ -81,6 +82,8 @@ class Encoder:
         for key in keys:
             if m := plain(key):
                 lead, body, stop = m.groups()
+                if stop not in stops:
+                    stops[stop] = self.tokenizer.encode(stop, add_special_tokens=False).ids
                 if not body.isascii():
                     body = body.encode().decode("latin-1").translate(spelling)
                 if lead:
@@ -125,22 +128,46 @@ class Encoder:
     def spelled(key: str) -> str:
         return key[1:] if key[:1] == " " else key if key[:1] == "\n" else " " + key
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.pieces(t) if t else [] for t in texts]
-        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-        keys = list(chain.from_iterable(cut))
-        if len(self.known) > self.most:
-            self._reset()
+    def _places(self, keys: list[str]) -> np.ndarray:
+        """The number of each key; new keys are learnt."""
         at = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
         if len(new := np.flatnonzero(at < 0)):
             names = [keys[k] for k in new.tolist()]
             self._learn(list(dict.fromkeys(names)))
             at[new] = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
-        n = self.length[at]
-        upto = np.cumsum(n)
-        ids = self.flat[np.repeat(self.first[at] - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)]
-        ends = np.concatenate([[0], upto])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
-        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return at
+
+    def _split(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the keys of pieces() of plain texts, one after the other, and how many each text has; each distinct piece becomes a string once."""
+        parts = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " \n"), " ")
+        offsets, coded = parts.offsets.to_numpy(), parts.flatten().dictionary_encode()
+        keys, index, head = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), offsets[:-1]
+        at = self._places(keys)[index]
+        at[head] = self._places([" " + keys[k] for k in index[head].tolist()])
+        return at, np.diff(offsets)
+
+    def _cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of any texts."""
+        cut = [self.pieces(t) for t in texts]
+        return self._places(list(chain.from_iterable(cut))), np.fromiter(map(len, cut), np.int64, len(cut))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.known) > self.most:
+            self._reset()
+        out, groups = [np.zeros(0, np.uint32)] * len(texts), ([], [])
+        for k, t in enumerate(texts):
+            if t:
+                groups[bool(_UNSAFE.search(t))].append(k)
+        for group, cut in zip(groups, (self._split, self._cut), strict=True):
+            if group:
+                at, sizes = cut([texts[k] for k in group])
+                n = self.length[at]
+                upto = np.cumsum(n)
+                ids = self.flat[np.repeat(self.first[at] - upto + n, n) + np.arange(upto[-1])]
+                ends = np.concatenate([[0], upto])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+                for k, a, b in zip(group, ends[:-1], ends[1:], strict=True):
+                    out[k] = ids[a:b]
+        return out
 
 
 def _refuse_others(spec: dict) -> None:
