@@ -222,3 +222,28 @@ def test_token_ids_of_marks_and_uneven_spaces_are_the_library_s():
     code, plain = token_files.Encoder(path), Tokenizer.from_file(path)
     for part in (texts, texts[::-1]):
         assert [ids.tolist() for ids in code.encode(part)] == [plain.encode(t, add_special_tokens=False).ids for t in part]
+
+
+def test_references_are_learnt_with_one_worker_a_task(spark, crowded, monkeypatch):
+    plans, collect = [], type(crowded).collect
+    monkeypatch.setattr(type(crowded), "collect", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), collect(df))[1])
+    kept = quality_rules.filter_quality(crowded)
+    assert len(plans) == 1 and plans[0].count("MapInArrow") == 1
+    assert (quality_rules.learn_references(quality_rules.histograms(crowded)) == quality_rules.references_of(crowded)).all()
+    assert kept.count() == sum(r.kept for r in quality_rules.quality_rules(crowded).collect())
+
+
+def test_long_pieces_are_forgotten_and_batches_stay(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tidemark.llm import token_files
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    code, plain, batches = token_files.Encoder(path, most=50), Tokenizer.from_file(path), []
+    for k in range(30):
+        text = f"as {(k + 7) ** 300} is"
+        ids = plain.encode(text, add_special_tokens=False).ids
+        batches.append(pa.RecordBatch.from_pydict({"text": [text, None]}))
+        assert code.encode([text])[0].tolist() == ids and code.used <= token_files.LONG * 50 + len(ids)
+    assert list(common.freed(iter(batches))) == batches

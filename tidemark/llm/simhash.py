@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _ASCII_LOWER, own_columns, record_batch, slices, spread_join, stored, texts_of, unused, whole_groups
+from .common import _ASCII_LOWER, freed, own_columns, record_batch, slices, spread_join, stored, texts_of, unused, whole_groups
 
 BLOCKS, FAN, PER_KEY = (6, 7, 8, 10), 8, 512
 
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed 64-bit number, of each row; null text has no words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(freed(batches)):
             fps = np.array([fingerprint(t, size) for t in texts_of(batch)], np.uint64).view(np.int64)
             yield record_batch("doc_id long, th long, fp long", {"doc_id": batch.column("doc_id"), "th": batch.column("th"), "fp": fps})
 

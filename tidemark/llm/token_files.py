@@ -32,11 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, own_columns, record_batch, slices, texts_of
+from .common import freed, new_path, own_columns, record_batch, slices, texts_of
 
 #: Magic numbers of the Zstandard seekable format, and the skippable frame of the index.
 SEEK_MAGIC, FOOTER_MAGIC, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 END_ID = 0
+#: Ids that an encoder remembers, for each piece that it may remember.
+LONG = 6
 WRITTEN = "shard int, path string, n_docs long, n_tokens long"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 #: The key of a piece of letters behind a space or a line break, maybe with ASCII marks but the apostrophe after them.
@@ -53,6 +55,9 @@ class Encoder:
     its byte alphabet; all others go through the whole tokenizer. The strings of special tokens become
     these tokens, as by the library's default; with special_as_text they are text like any other.
     Tokenizers for which this would not hold are refused.
+
+    Pieces are forgotten, all at once, when there are over most of them or their ids are over LONG times
+    as many, so that long pieces are bounded too.
     """
 
     def __init__(self, path: str, most: int = 1_000_000, special_as_text: bool = False) -> None:
@@ -152,7 +157,7 @@ class Encoder:
         return self._places(list(chain.from_iterable(cut))), np.fromiter(map(len, cut), np.int64, len(cut))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > self.most:
+        if len(self.known) > self.most or self.used > LONG * self.most:
             self._reset()
         out, groups = [np.zeros(0, np.uint32)] * len(texts), ([], [])
         for k, t in enumerate(texts):
@@ -251,7 +256,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, *, special_as_tex
         own, shard, code = TaskContext.get(), TaskContext.get().partitionId(), encoder(tokenizer, special_as_text)
 
         def documents() -> Iterator[tuple[int | None, np.ndarray]]:
-            for batch in slices(batches):
+            for batch in slices(freed(batches), max_bytes=1 << 20):
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), code.encode(texts_of(batch)), strict=True):
                     yield doc_id, np.append(ids, np.uint32(END_ID))
 
