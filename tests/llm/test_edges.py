@@ -209,6 +209,36 @@ def test_counts_of_a_group_are_merged_early(monkeypatch):
     assert key.tolist() == [-1, *range(20)] and n.tolist() == [20, *range(20)]
 
 
+def test_places_and_words_travel_in_blocks(spark, monkeypatch):
+    tables, stored = {}, lm_score.stored
+    monkeypatch.setattr(lm_score, "stored", lambda df, tag: tables.setdefault(tag, stored(df, tag)))
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"{x:x}" for x in rng.integers(0, 1 << 24, 100)) for _ in range(100)] + ["", " "]
+    df = spark.createDataFrame([*enumerate(texts), (None, None), (1, texts[0])], "doc_id long, text string")
+    whole = sorted((repr(r.doc_id), r.n_known, r.base_score, r.score) for r in lm_score.score_documents(df).collect())
+    places = len(np.unique(lm_score.places_of(lm_score.stream_of(texts))))
+    assert places > 10_000 and sum(t.count() for t in tables.values()) < places / 2  # not a row for each place
+    tables.clear()
+    monkeypatch.setattr(lm_score, "BUCKET", 1000)
+    scores = lm_score.score_documents(df.repartition(3), group=1)
+    many = sorted((repr(r.doc_id), r.n_known, r.base_score, r.score) for r in scores.collect())
+    assert tables["gathered"].select("slot").distinct().count() > 10
+    assert scores.rdd.getNumPartitions() == tables["answered"].where("block is not null").select("grp").distinct().count() == 3  # a task for each group
+    assert [x[:2] for x in many] == [x[:2] for x in whole] and np.allclose([x[2:] for x in many], [x[2:] for x in whole], rtol=1e-6)
+
+
+def test_blocks_hold_what_was_packed():
+    key, n, lp = np.array([-(2**63), -5, 0, 7, 2**63 - 1]), np.arange(5), np.array([-0.5, -1, -9, 0, -3], np.float32)
+    for of in (n, lp):
+        got = lm_score.unpacked_places(lm_score.packed_places(key, of), of.dtype)
+        assert got[0].tolist() == key.tolist() and got[1].tolist() == of.tolist()
+    words, counts = lm_score.unpacked_words(lm_score.packed_words([b"a", b"\xc3\x28", b"\0"], np.array([3, 0, 2**40])))
+    assert words.to_pylist() == [b"a", b"\xc3\x28", b"\0"] and counts.tolist() == [3, 0, 2**40]
+    key = np.array([32, 97, 98, 99])[:, None] << 40 | np.arange(1000)  # four parts
+    bucket = lm_score.bucket_of_parts(key.ravel(), 50, lm_score.DEPTH).reshape(key.shape)
+    assert (bucket == bucket[:, :1]).all() and 0 <= bucket.min() <= bucket.max() < 50
+
+
 def test_token_ids_of_marks_and_uneven_spaces_are_the_library_s():
     import public_tokenizers
     from tokenizers import Tokenizer

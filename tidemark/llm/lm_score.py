@@ -11,12 +11,17 @@ smoothed with the uniform one. A byte is scored in the longest suffix of its con
 The bar is a count and not a share, so the tree grows with the corpus; no task and no driver holds it.
 Documents are dealt in groups of about GROUP bytes of text. Each group sends its distinct places (context
 of full depth and next byte) once, with their training counts, and gets a log probability for each back.
-Counts are summed by place over all groups. The tree is then walked in parts: contexts that share their
-nearest NEAR bytes are one part, which holds all states deeper than NEAR - 1 for them, in the order of
-their bytes from the nearest on. States of less depth are made first; as there are at most 256 ** 3
-places of that depth, they may travel (ROOT_BYTES at most).
-
-Word counts, for the base score, take the same way: a group sends its distinct words once.
+They travel in blocks: a part of the tree is all contexts that share their nearest NEAR bytes, parts are
+dealt to buckets by hash, a bucket for each BUCKET bytes of text, and a block is what one group has for
+one bucket, in one compressed row. So Spark moves and sorts few rows, and its memory stays small. A task
+holds one bucket of all groups at a time: it sums the counts by place, walks the bucket's parts of the
+tree (all states deeper than NEAR - 1, in the order of their bytes from the nearest on) and answers each
+block with one. States of less depth are made first; as there are at most 256 ** 3 places of that depth,
+they may travel (ROOT_BYTES at most). A bucket is about as large as its share of the text's distinct
+places, unless one part is larger: parts are never cut.
+
+Word counts, for the base score, take the same way: a group sends its distinct words once, in blocks by hash.
+Each group is scored in a task of its own, which reads its answers and its text.
 """
 
 from __future__ import annotations
@@ -32,18 +37,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import chunked, opened
-from .common import _ASCII_LOWER, record_batch, slices, stored, texts_of, whole_groups, words_of
+from .common import _ASCII_LOWER, record_batch, slices, stored, texts_of, words_of
 
-END, PAD, DEPTH, NEAR, LEAST, GROUP = 10, 13, 5, 3, 5, 48 << 20
+END, PAD, DEPTH, NEAR, LEAST, GROUP, BUCKET = 10, 13, 5, 3, 5, 48 << 20, 4 << 20
 ROOT_BYTES = 2 * 256**3 * 4
-PART = 1 << 16  # rows of a batch that is sent
+PART = 1 << 16  # rows of a batch that is sent, or words that are hashed at once
+SENT = 1 << 20  # bytes of blocks that are sent at once
 FOLD = 1 << 20  # rows that wait before they are merged
-SCORED = 1 << 20  # bytes of text whose places are looked up at once
+SCORED = 1 << 20  # bytes of text whose places are made, or looked up, at once
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-GATHERED = "grp long, key long, word binary, n long"
-#: What meets in a group's task: slot is 4 * group + kind; kinds are contexts (a: place), words (a: count, b: word) and chunks (b: payload).
-MET = "slot long, a long, b binary, v float"
-CONTEXTS, WORDS, CHUNKS = 0, 1, 2
+#: What groups send: slot is 2 * bucket + kind, with a block; or ROOT, with a place of depth NEAR - 1 (a) and its count (n).
+GATHERED = "slot long, grp long, a long, n long, block binary"
+#: What buckets answer: blocks of kind CONTEXTS or WORDS; or TOTALS, with how many training words there are (n), and distinct ones (a).
+ANSWERED = "kind long, grp long, a long, n long, block binary"
+#: What meets in a group's task: slot is 4 * group + kind; blocks and chunks.
+MET = "slot long, block binary"
+CONTEXTS, WORDS, CHUNKS, TOTALS, ROOT = 0, 1, 2, 3, -1
 
 
 def held_out(doc_id: int | None, folds: int = 7, fold: int = 2) -> bool:
@@ -94,16 +103,87 @@ def folded(parts: list, merge: Callable, rows: Callable) -> list:
     return [merge(parts)] if sum(map(rows, parts[1:])) >= max(FOLD, rows(parts[0])) else parts
 
 
-def gathered(chunks: DataFrame, depth: int) -> DataFrame:
+def packed(first: bytes, second: np.ndarray) -> bytes:
+    """A block: bytes and an array, compressed."""
+    raw = len(first).to_bytes(8, "little") + first + second.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(block: bytes, dtype: type) -> tuple[bytes, np.ndarray]:
+    raw = pa.decompress(block[8:], int.from_bytes(block[:8], "little"), codec="zstd", asbytes=True)
+    cut = 8 + int.from_bytes(raw[:8], "little")
+    return raw[8:cut], np.frombuffer(raw[cut:], dtype)
+
+
+def packed_places(key: np.ndarray, of: np.ndarray) -> bytes:
+    """Places in order, as their differences, with a number for each."""
+    return packed(np.diff(key, prepend=0).tobytes(), of)
+
+
+def unpacked_places(block: bytes, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    key, of = unpacked(block, dtype)
+    return np.cumsum(np.frombuffer(key, np.int64)), of
+
+
+def packed_words(words: list[bytes], of: np.ndarray) -> bytes:
+    """Words, which hold no white space and are not empty, with a number for each."""
+    return packed(b"\n".join(words), of)
+
+
+def unpacked_words(block: bytes) -> tuple[pa.Array, np.ndarray]:
+    words, of = unpacked(block, np.int64)
+    return pa.array(words.split(b"\n"), pa.binary()), of
+
+
+def runs_of(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Each run of equal values, with its bounds."""
+    cuts = np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]]) if len(values) else [0]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(values[a]), int(a), int(b)
+
+
+def sent_blocks(schema: str, rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+    """Rows with a block each, in batches of SENT bytes or a little more."""
+    held, size = [], 0
+    for row in rows:
+        held.append({"a": 0, "n": 0} | row)
+        size += len(row["block"] or b"") + 64
+        if size >= SENT:
+            yield record_batch(schema, {c: [r[c] for r in held] for c in held[0]})
+            held, size = [], 0
+    if held:
+        yield record_batch(schema, {c: [r[c] for r in held] for c in held[0]})
+
+
+def bucket_of_parts(key: np.ndarray, buckets: int, depth: int) -> np.ndarray:
+    """The bucket of each place, the same for all of one part."""
+    part = (key >> 8 * (depth - NEAR) + 8).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((part >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+def gathered(chunks: DataFrame, depth: int, buckets: int) -> DataFrame:
     """Each group's distinct places and words with their counts over the training documents; columns as in GATHERED."""
 
+    def blocks(grp: int, key: np.ndarray, n: np.ndarray, words: pa.Table) -> Iterator[dict]:
+        bucket = bucket_of_parts(key, buckets, depth)
+        order = np.argsort(bucket, kind="stable")
+        key, n = key[order], n[order]
+        for at, a, b in runs_of(bucket[order]):
+            yield {"slot": 2 * at + CONTEXTS, "grp": grp, "block": packed_places(key[a:b], n[a:b])}
+        bucket = np.fromiter((zlib.crc32(w) % buckets for part in words.to_batches(PART) for w in part.column("word").to_pylist()), np.int64, len(words))
+        order = np.argsort(bucket, kind="stable")
+        words = words.take(pa.array(order))
+        for at, a, b in runs_of(bucket[order]):
+            part = words.slice(a, b - a)
+            yield {"slot": 2 * at + WORDS, "grp": grp, "block": packed_words(part["word"].to_pylist(), part["n"].to_numpy().astype(np.int64))}
+
     def sent(grp: int, held: list, words: list) -> Iterator[pa.RecordBatch]:
         key, n = summed(held)
-        for a in range(0, len(key), PART):
-            k = key[a : a + PART]
-            yield record_batch(GATHERED, {"grp": np.full(len(k), grp), "key": k, "word": pa.nulls(len(k), pa.binary()), "n": n[a : a + PART]})
-        for part in summed_words(words).to_batches(PART):
-            yield record_batch(GATHERED, {"grp": np.full(len(part), grp), "key": np.zeros(len(part), np.int64), "word": part["word"], "n": part["n"]})
+        near, of = summed([(key >> 8 * (depth - NEAR + 1) + 8 << 8 | key & 255, n)])
+        for a in range(0, len(near), PART):
+            k = near[a : a + PART]
+            yield record_batch(GATHERED, {"slot": np.full(len(k), ROOT), "grp": np.full(len(k), grp), "a": k, "n": of[a : a + PART], "block": pa.nulls(len(k), pa.binary())})
+        yield from sent_blocks(GATHERED, blocks(grp, key, n, summed_words(words)))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grp, held, words = None, [], []
@@ -111,15 +191,17 @@ def gathered(chunks: DataFrame, depth: int) -> DataFrame:
             if grp is not None and row["grp"].as_py() != grp:
                 yield from sent(grp, held, words)
                 held, words = [], []
-            grp, texts = row["grp"].as_py(), texts_of(docs)
-            known = np.array([not held_out(i) for i in docs.column("doc_id").to_pylist()])
-            for train in (True, False):
-                key, n = np.unique(places_of(stream_of([t for t, k in zip(texts, known, strict=True) if k == train]), depth), return_counts=True)
-                held.append((key, n if train else np.zeros_like(n)))
-                held = folded(held, summed, lambda part: len(part[0]))
-            offsets, ids, own = words_of(texts, lower=True)
-            words.append(pa.table({"word": pa.array(own, pa.binary()), "n": np.bincount(ids[np.repeat(known, np.diff(offsets))], minlength=len(own))}))
-            words = folded(words, summed_words, len)
+            grp = row["grp"].as_py()
+            for part in slices([docs], max_bytes=SCORED):
+                texts = texts_of(part)
+                known = np.array([not held_out(i) for i in part.column("doc_id").to_pylist()])
+                for train in (True, False):
+                    key, n = np.unique(places_of(stream_of([t for t, k in zip(texts, known, strict=True) if k == train]), depth), return_counts=True)
+                    held.append((key, n if train else np.zeros_like(n)))
+                    held = folded(held, summed, lambda x: len(x[0]))
+                offsets, ids, own = words_of(texts, lower=True)
+                words.append(pa.table({"word": pa.array(own, pa.binary()), "n": np.bincount(ids[np.repeat(known, np.diff(offsets))], minlength=len(own))}))
+                words = folded(words, summed_words, len)
         if grp is not None:
             yield from sent(grp, held, words)
 
@@ -196,21 +278,46 @@ def probabilities(key: np.ndarray, n: np.ndarray, root: Root, depth: int = DEPTH
     return best, states
 
 
-def place_scores(counts: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
-    """key and lp, the log10 probability, of each place in counts (key, n)."""
-    near = counts.groupBy(F.shiftright("key", 8 * (depth - NEAR + 1) + 8).alias("context"), F.col("key").bitwiseAND(255).alias("byte")).agg(F.sum("n").alias("n")).toArrow()  # 256 ** 3 rows at most
-    root = counts.sparkSession.sparkContext.broadcast(Root(*(near[c].to_numpy() for c in ("context", "byte", "n")), least))
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, key, n in whole_groups(batches, ("part", "key", "n"), ("part",)):
-            order = np.argsort(key, kind="stable")
-            p, _ = probabilities(key[order], n[order].astype(np.float64), root.value, depth, least)
-            key, lp = key[order], np.log10(p).astype(np.float32)
-            for a in range(0, len(key), PART):
-                yield record_batch("key long, lp float", {"key": key[a : a + PART], "lp": lp[a : a + PART]})
-
-    parts = counts.select(F.shiftright("key", 8 * (depth - NEAR) + 8).alias("part"), "key", "n").repartition("part").sortWithinPartitions("part")
-    return parts.mapInArrow(walk, "key long, lp float")
+def answered(sent: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
+    """For each block of sent (as in GATHERED) one with the log10 probabilities of its places, or the counts of its words; columns as in ANSWERED."""
+    near = sent.where(F.col("slot") == ROOT).groupBy("a").agg(F.sum("n").alias("n")).toArrow()  # 256 ** 3 rows at most
+    key = near["a"].to_numpy()
+    root = sent.sparkSession.sparkContext.broadcast(Root(key >> 8, key & 255, near["n"].to_numpy(), least))
+
+    def of_places(grps: list[int], blocks: list[bytes]) -> Iterator[dict]:
+        parts = [unpacked_places(x, np.int64) for x in blocks]
+        key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        own, at = np.unique(key, return_inverse=True)
+        p, _ = probabilities(own, np.bincount(at, n, len(own)), root.value, depth, least)
+        lp, a = np.log10(p).astype(np.float32)[at], 0
+        for grp, (k, _) in zip(grps, parts, strict=True):
+            yield {"kind": CONTEXTS, "grp": grp, "block": packed_places(k, lp[a : a + len(k)])}
+            a += len(k)
+
+    def of_words(grps: list[int], blocks: list[bytes]) -> Iterator[dict]:
+        parts = [unpacked_words(x) for x in blocks]
+        coded = pa.chunked_array([w for w, _ in parts], pa.binary()).combine_chunks().dictionary_encode()
+        at, n = coded.indices.to_numpy(), np.concatenate([x for _, x in parts])
+        total, a = np.bincount(at, n, len(coded.dictionary)).astype(np.int64), 0
+        yield {"kind": TOTALS, "grp": 0, "a": int((total > 0).sum()), "n": int(total.sum()), "block": None}
+        for grp, (w, _) in zip(grps, parts, strict=True):
+            yield {"kind": WORDS, "grp": grp, "block": packed_words(w.to_pylist(), total[at[a : a + len(w)]])}
+            a += len(w)
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        slot, grps, blocks = None, [], []
+        for own, part in _runs(batches):
+            if slot is not None and own != slot:
+                yield from (of_words if slot & 1 == WORDS else of_places)(grps, blocks)
+                grps, blocks = [], []
+            slot = own
+            grps += part.column("grp").to_pylist()
+            blocks += part.column("block").to_pylist()
+        if slot is not None:
+            yield from (of_words if slot & 1 == WORDS else of_places)(grps, blocks)
+
+    blocks = sent.where(F.col("slot") != ROOT).select("slot", "grp", "block").repartition("slot").sortWithinPartitions("slot")
+    return stored(blocks.mapInArrow(lambda batches: sent_blocks(ANSWERED, answers(batches)), ANSWERED), "answered")
 
 
 def score_documents(docs: DataFrame, *, depth: int = DEPTH, least: int = LEAST, group: int = GROUP) -> DataFrame:
@@ -221,19 +328,18 @@ def score_documents(docs: DataFrame, *, depth: int = DEPTH, least: int = LEAST,
     count and are scored each. Very long texts are whole chunks of their own. Extra columns are ignored.
     """
     chunks = chunked(docs, group=group)
-    sent = gathered(chunks, depth)
-    counts = stored(sent.where("word is null").groupBy("key").agg(F.sum("n").alias("n")), "places")
-    words = stored(sent.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    n_words, n_types = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    n_ends = counts.where(F.col("key").bitwiseAND(255) == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    size = chunks.agg(F.sum("size")).first()[0] or 0
+    sent = gathered(chunks, depth, max(1, -(-size // BUCKET)))
+    answers = answered(sent, depth, least)
+    n_words, n_types = answers.where(F.col("kind") == TOTALS).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("a"), F.lit(0))).first()
+    n_ends = sent.where((F.col("slot") == ROOT) & (F.col("a").bitwiseAND(255) == END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     tokens, types = n_words + n_ends, n_types + (n_ends > 0)
-    of_places = sent.where("word is null").select("grp", "key").join(stored(place_scores(counts, depth, least), "place-scores"), "key")
-    of_words = sent.where("word is not null").select("grp", "word").join(words, "word")
-    slot = lambda kind: (F.col("grp") * 4 + kind).alias("slot")
-    met = of_places.select(slot(CONTEXTS), F.col("key").alias("a"), F.lit(None).cast("binary").alias("b"), F.col("lp").alias("v"))
-    met = met.unionByName(of_words.select(slot(WORDS), F.col("n").alias("a"), F.col("word").alias("b"), F.lit(0).cast("float").alias("v")))
-    met = met.unionByName(chunks.select(slot(CHUNKS), F.col("chunk").alias("a"), F.col("payload").alias("b"), F.lit(0).cast("float").alias("v")))
-    met = met.repartition(F.shiftright("slot", 2)).sortWithinPartitions("slot")
+    met = answers.where(F.col("kind") != TOTALS).select((F.col("grp") * 4 + F.col("kind")).alias("slot"), "block")
+    met = met.unionByName(chunks.select((F.col("grp") * 4 + CHUNKS).alias("slot"), F.col("payload").alias("block")))
+    groups = np.unique(chunks.select("grp").distinct().toArrow()["grp"].to_numpy())
+    numbers = docs.sparkSession.createDataFrame(pa.table({"at": np.arange(len(groups), dtype=np.int32), "grp": groups}))  # from Arrow, no Python worker is started for it
+    met = met.join(F.broadcast(numbers), F.shiftright("slot", 2) == F.col("grp")).select("at", "slot", "block")
+    met = met.repartitionById(max(1, len(groups)), F.col("at")).sortWithinPartitions("slot").select("slot", "block")  # a task has one group, and so has a batch
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grp, keys, scores, words, counts = None, [], [], [], []
@@ -241,19 +347,20 @@ def score_documents(docs: DataFrame, *, depth: int = DEPTH, least: int = LEAST,
             if slot >> 2 != grp:
                 grp, keys, scores, words, counts = slot >> 2, [], [], [], []
             if slot & 3 == CONTEXTS:
-                keys.append(part.column("a").to_numpy())
-                scores.append(part.column("v").to_numpy())
+                for key, lp in (unpacked_places(x.as_py(), np.float32) for x in part.column("block")):
+                    keys.append(key)
+                    scores.append(lp)
             elif slot & 3 == WORDS:
-                words.append(part.column("b"))
-                counts.append(part.column("a").to_numpy())
+                for own, n in (unpacked_words(x.as_py()) for x in part.column("block")):
+                    words.append(own)
+                    counts.append(n)
             else:
                 if isinstance(keys, list):  # all are here, as slots come in order
-                    first = np.unique(np.concatenate(keys), return_index=True)
-                    keys, scores = pd.Index(first[0]), np.concatenate(scores)[first[1]]
+                    keys, scores = pd.Index(np.concatenate(keys)), np.concatenate(scores)
                     words, counts = pa.chunked_array(words, pa.binary()).combine_chunks(), np.concatenate([*counts, np.zeros(0, np.int64)])
-                for payload in part.column("b"):
+                for payload in part.column("block"):
                     with pa.ipc.open_stream(payload.as_buffer()) as documents:
-                        for rows in documents:
+                        for rows in slices(documents, max_bytes=2 * SCORED):
                             yield scored(rows, keys, scores, words, counts)
 
     def scored(rows: pa.RecordBatch, keys: pd.Index, scores: np.ndarray, words: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
@@ -276,7 +383,5 @@ def score_documents(docs: DataFrame, *, depth: int = DEPTH, least: int = LEAST,
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Each run of rows of one slot."""
     for batch in batches:
-        slot = batch.column("slot").to_numpy()
-        cuts = np.concatenate([[0], np.flatnonzero(slot[1:] != slot[:-1]) + 1, [len(slot)]]) if len(slot) else [0]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            yield int(slot[a]), batch.slice(int(a), int(b - a))
+        for slot, a, b in runs_of(batch.column("slot").to_numpy()):
+            yield slot, batch.slice(a, b - a)
